@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packreview.llm.common import is_held_out, map_rows, table
-from packreview.llm.textbag import WordScores, gram_buckets
+from packreview.llm.textbag import WordScores, word_table
 from packreview.llm.toxicity import training_sample
 
-PER_GRADE = 2500  # the documented bound of the training sample, for each grade
+PER_GRADE = 1200  # the documented bound of the training sample, for each grade
 BUCKETS, ORDERS, SELECT = 1 << 17, (3,), 0.5
 
 
@@ -46,19 +46,14 @@ def fit(texts: list[str], ratings: list[int], priors: dict[int, float] | None =
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros(BUCKETS, np.float32), np.zeros(0))
     y = np.searchsorted(grades, ratings)
-    lists = [plain_words(t) for t in texts]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for t in lists for w in t))}
-    grams = gram_buckets(list(vocab) or [b""], ORDERS, BUCKETS)
-    word = np.concatenate([g[0] for g in grams])
-    order = np.argsort(word, kind="stable")
-    flat, sizes = np.concatenate([g[1] for g in grams])[order], np.bincount(word, minlength=max(1, len(vocab)))
+    numbers, flat, sizes = word_table(texts, plain_words, ORDERS, BUCKETS)
     ends = np.cumsum(sizes)
     docs = []
-    for t in lists:  # a text as (bucket, share of its features)
-        w = np.fromiter(map(vocab.__getitem__, t), np.int64, len(t))
+    for w in numbers:  # a text as (bucket, how many of its features)
         n = sizes[w]
-        f = flat[np.repeat(ends[w] - np.cumsum(n), n) + np.arange(n.sum())] if len(w) else np.zeros(0, np.int64)
-        docs.append(np.unique(f, return_counts=True))
+        f = flat[np.repeat(ends[w] - np.cumsum(n), n) + np.arange(n.sum())] if len(w) else flat[:0]
+        idx, c = np.unique(f, return_counts=True)
+        docs.append((idx, c.astype(np.int32)))
     share = np.bincount(y, minlength=len(grades)) / len(y)
     want = np.array([(priors or {}).get(g, s) for g, s in zip(grades, share, strict=True)])
     weight = want / share

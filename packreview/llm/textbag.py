@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 
 #: Letters A-Z become lower case and ASCII punctuation becomes a space before a text is split into words.
@@ -65,3 +67,26 @@ class WordScores:
             self.sums, self.counts = np.concatenate([self.sums, s]), np.concatenate([self.counts, c])
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         return self.sums[at], self.counts[at]
+
+
+def word_table(texts: Iterable[str], words_of: Callable, orders: tuple[int, ...], buckets: int, step: int = 20_000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Training texts as arrays of word numbers; buckets of all words, one word after another; how many each word has.
+
+    Built text by text and in steps of the vocabulary, as the driver that trains has little memory.
+    """
+    vocab: dict[bytes, int] = {}
+    docs = []
+    for t in texts:
+        words = words_of(t)
+        docs.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
+    flat, sizes = [], []
+    every = list(vocab)
+    for a in range(0, len(every), step):
+        part = every[a : a + step]
+        grams = gram_buckets(part, orders, buckets)
+        word = np.concatenate([g[0] for g in grams]).astype(np.int32)
+        bucket = np.concatenate([g[1] for g in grams]).astype(np.int32)
+        flat.append(bucket[np.argsort(word, kind="stable")])
+        sizes.append(np.bincount(word, minlength=len(part)))
+    none = np.zeros(0, np.int32)
+    return docs, np.concatenate([none, *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packreview.llm.common import is_held_out, map_rows, table
-from packreview.llm.textbag import WordScores, fold_words, gram_buckets
+from packreview.llm.textbag import WordScores, fold_words, word_table
 
 #: Training rows of each class at most: the documented bound of the sample that the classifier is fitted on.
-PER_CLASS = 2500
+PER_CLASS = 1500
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 12, 6
 ORDERS = (3, 4, 5)
 THRESHOLD = 0.3
@@ -59,16 +59,9 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Tox
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return ToxicModel(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    lists = [fold_words(t) for t in texts]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for t in lists for w in t))}
-    docs = [np.fromiter(map(vocab.__getitem__, t), np.int64, len(t)) for t in lists]
-    if not vocab:
+    docs, flat, sizes = word_table(texts, fold_words, ORDERS, BUCKETS)
+    if not len(sizes):
         return fit(texts, [0] * len(texts), share)
-    grams = gram_buckets(list(vocab), ORDERS, BUCKETS)
-    word = np.concatenate([g[0] for g in grams])
-    order = np.argsort(word, kind="stable")
-    flat = np.concatenate([g[1] for g in grams])[order]
-    sizes = np.bincount(word, minlength=len(vocab))
     ends = np.cumsum(sizes)
     E = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     W = rng.normal(0, 0.4, DIM).astype(np.float32)
