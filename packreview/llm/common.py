@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a vectorised helper takes at a time; bounds the memory of a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -20,6 +20,8 @@ def reach_workers(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # texts may be long; leave other settings
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

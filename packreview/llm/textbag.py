@@ -10,7 +10,7 @@ import numpy as np
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else (32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b) for b in range(256)
 )
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 

@@ -70,7 +70,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Tox
     lengths = np.array([len(d) for d in docs])
     joined = np.concatenate(docs)
     steps = -(-len(docs) // 32)
-    for epoch in range(max(6, min(60, 900 // steps))):
+    for epoch in range(max(6, min(60, 1100 // steps))):
         if epoch == 0:  # no window is known to be the toxic one yet: words of the whole text, drawn anew
             picks = [d if len(d) <= 100 else d[rng.integers(0, len(d), 100)] for d in docs]
         else:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 class WordIds:
