@@ -53,6 +53,11 @@ BANNER = r"(?i)synthetic|fictional|udin"
 FACT = r"(?i)turnover|gst|pan\b|blacklist|solvency|manpower|psara|iso|licen[cs]e|loss|work|\brs\.?\b|₹|\binr\b|[0-9]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _longs() -> Column:
     return F.array().cast("array<bigint>")
 
@@ -127,15 +132,17 @@ def quote_supported(quote: Column, source: Column, min_len: int = 20) -> Column:
 
 def trigrams(text: Column) -> Column:
     """TXT7: distinct character trigrams of the folded text."""
-    t = whitespace_norm(F.lower(text))
-    n = F.length(t)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    grams = lambda t: F.when(
+        F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))
+    ).otherwise(none)
+    return let(whitespace_norm(F.lower(text)), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """0 when either set is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    share = let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
 
 
 def trigram_jaccard(query: Column, text: Column) -> Column:
@@ -196,7 +203,7 @@ def window_round(text: Column, keyword: Column, before: int, after: int) -> Colu
 def threshold_near(text: Column, keyword: Column) -> Column:
     """TXT13: the largest amount round the keyword, else in the text; null without any."""
     near = amounts_in(window_round(text, keyword, 90, 180))
-    return F.array_max(F.when(F.size(near) > 0, near).otherwise(amounts_in(text)))
+    return let(near, lambda x: F.array_max(F.when(F.size(x) > 0, x).otherwise(amounts_in(text))))
 
 
 def percent_near(text: Column, keyword: Column) -> Column:

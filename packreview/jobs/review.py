@@ -15,9 +15,9 @@ def evidence_hits(requirements: DataFrame, company: DataFrame, k: int = HITS, mo
     """Top company chunks of each requirement within its case. requirements: case_id, req_id, text; company: chunk rows by case."""
     queries = requirements.select(F.col("case_id").cast("string").alias("corpus"), F.col("req_id").alias("query_id"), "text")
     chunks = company.select(F.col("case_id").cast("string").alias("corpus"), "chunk_id", "pos", "text")
-    hits = retrieval.search(queries, chunks, k, mode, pad).withColumnRenamed("corpus", "__case").withColumnRenamed("query_id", "req_id")
-    cite = extract.with_optional(company).select("case_id", "chunk_id", "text", "page", "clause", "filename")
-    return hits.join(cite, (hits["__case"] == cite["case_id"].cast("string")) & (hits["chunk_id"] == cite["chunk_id"])).select(cite["case_id"], "req_id", "rank", cite["chunk_id"], "text", "page", "clause", "filename")
+    hits = retrieval.search(queries, chunks, k, mode, pad).select("corpus", F.col("query_id").alias("req_id"), "rank", "chunk_id")
+    cite = extract.with_optional(company).select(F.col("case_id").cast("string").alias("corpus"), "case_id", "chunk_id", "text", "page", "clause", "filename")
+    return hits.join(cite, ["corpus", "chunk_id"]).select("case_id", "req_id", "rank", "chunk_id", "text", "page", "clause", "filename")
 
 
 def review(cases: DataFrame, tender: DataFrame, company: DataFrame, policy: str = "v1", mode: str = "hybrid_rerank") -> dict[str, DataFrame]:

@@ -68,9 +68,10 @@ def _evidence(requirements: DataFrame, hits: DataFrame) -> DataFrame:
     """DEC1 and DEC4's works, one aggregation by requirement: best (struct) and works (at most the hits of one query)."""
     r = requirements.select("case_id", "req_id", F.col("text").alias("need"), "rule", markers_of(F.col("rule")).alias("markers")).where("rule is not null")
     h = r.join(hits, ["case_id", "req_id"]).withColumn("quote", sentence_with(F.col("text"), F.col("markers"))).where("quote is not null")
-    amounts = T.amounts_in(F.col("quote"))
-    amount = F.array_max(F.when(F.size(amounts) > 0, amounts).otherwise(T.amounts_in(F.col("text"))))
-    cite = F.struct(F.col("rank").cast("int").alias("rank"), "quote", amount.alias("amount"), "chunk_id", "filename", "page", "clause", F.col("text").alias("whole"))
+    amount = T.let(T.amounts_in(F.col("quote")), lambda a: F.array_max(F.when(F.size(a) > 0, a).otherwise(T.amounts_in(F.col("text")))))
+    h = h.withColumn("amount", amount)
+    amount = F.col("amount")
+    cite = F.struct(F.col("rank").cast("int").alias("rank"), "quote", "amount", "chunk_id", "filename", "page", "clause", F.col("text").alias("whole"))
     work = (F.col("rule") == "similar") & amount.isNotNull() & T.domain_ok(F.col("need"), F.col("quote"))
     return h.groupBy("case_id", "req_id").agg(F.min_by(cite, "rank").alias("best"), F.array_sort(F.collect_list(F.when(work, cite))).alias("works"))
 
@@ -91,8 +92,8 @@ def matrix(requirements: DataFrame, hits: DataFrame, cost: DataFrame | None = No
     quote = best["quote"]
     low_quote = F.lower(quote)
     # money: percent without a cost is settled before evidence is looked at, then no threshold, then missing, then compare
-    near = T.threshold_near(text, rule)
-    percent = T.percent_near(text, rule)
+    r = r.withColumns({"__near": T.threshold_near(text, rule), "__percent": T.percent_near(text, rule), "__alts": T.alternatives(text), "__asked": T.headcount(text), "__seen": F.coalesce(T.headcount(quote), T.headcount(best["whole"]))})
+    near, percent = F.col("__near"), F.col("__percent")
     by_cost = (F.col("cost") * percent / 100).cast("bigint")
     unpriced = near.isNull() & percent.isNotNull() & (F.coalesce("cost", F.lit(0)) == 0)
     need = F.coalesce(near, F.when(F.coalesce("cost", F.lit(0)) != 0, by_cost))
@@ -105,7 +106,7 @@ def matrix(requirements: DataFrame, hits: DataFrame, cost: DataFrame | None = No
         .when(best["amount"] >= need, F.struct(F.lit("met").alias("d"), F.concat(F.lit("Cited "), rule, F.lit(" of Rs. "), _grouped(best["amount"]), F.lit(" meets the threshold of Rs. "), _grouped(need), F.lit(".")).alias("r"), F.lit(True).alias("c")))
         .otherwise(F.struct(F.lit("not_met").alias("d"), F.concat(F.lit("Cited "), rule, F.lit(" of Rs. "), _grouped(best["amount"]), F.lit(" is below the threshold of Rs. "), _grouped(need), F.lit(".")).alias("r"), F.lit(True).alias("c")))
     )
-    alts = T.alternatives(text)
+    alts = F.col("__alts")
     works = F.coalesce("works", F.array().cast("array<struct<rank:int,quote:string,amount:bigint,chunk_id:string,filename:string,page:int,clause:string,whole:string>>"))
     good = lambda a: F.filter(works, lambda w: w["amount"] >= a["amount"])
     chosen = F.get(F.filter(alts, lambda a: F.size(good(a)) >= a["count"]), F.lit(0))
@@ -124,7 +125,7 @@ def matrix(requirements: DataFrame, hits: DataFrame, cost: DataFrame | None = No
         .when(says(F.slice(all_markers, 1, 3)), F.struct(F.lit("met").alias("d"), F.concat(F.lit("The cited document supports the "), label, F.lit(" requirement.")).alias("r"), F.lit(True).alias("c")))
         .otherwise(F.struct(F.lit("not_met").alias("d"), F.concat(F.lit("The cited document contradicts the "), label, F.lit(" requirement.")).alias("r"), F.lit(True).alias("c")))
     )
-    asked, seen = T.headcount(text), F.coalesce(T.headcount(quote), T.headcount(best["whole"]))
+    asked, seen = F.col("__asked"), F.col("__seen")
     manpower = (
         F.when(asked.isNull(), F.struct(F.lit("unclear").alias("d"), F.lit("A manpower clause was found but no headcount was parsed.").alias("r"), quote.isNotNull().alias("c")))
         .when(quote.isNull(), F.struct(F.lit("missing").alias("d"), F.lit("No uploaded document states manpower on roll.").alias("r"), F.lit(False).alias("c")))
