@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packreview.sources.scratch import fresh_path, materialise, shared_dir  # noqa: F401
+
 #: Text bytes that a vectorised helper takes at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
 
@@ -28,26 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it back; survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table made by materialise() that nothing reads any more."""
     base = shared_dir(spark).split(":", 1)[-1].lstrip("/")
@@ -105,7 +85,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Alternates large-star and small-star until nothing changes, which takes a number of rounds that grows with
     the logarithm of the longest path. Each round is two aggregations over the links, written to the shared
-    folder; no vertex's neighbours are gathered, so hubs of any degree are safe. Ids that have no link are absent.
+    folder; no vertex's neighbours are gathered, so hubs of any degree are safe. Ids that have no link and the smallest id of each component are absent.
     """
     spark = links.sparkSession
     edges = materialise(
