@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packreview.operators import decide, extract, retrieval, verify
+from packreview.sources.scratch import materialise
 
 HITS = 8
 
@@ -21,9 +22,13 @@ def evidence_hits(requirements: DataFrame, company: DataFrame, k: int = HITS, mo
 
 
 def review(cases: DataFrame, tender: DataFrame, company: DataFrame, policy: str = "v1", mode: str = "hybrid_rerank") -> dict[str, DataFrame]:
-    """requirements, matrix, risks, deadlines, letter, failures, go_no_go, counts and letters of every case(case_id, title)."""
-    req = extract.requirements(tender, policy).withColumn("req_id", F.col("ord"))
-    matrix = decide.matrix(req, evidence_hits(req, company, mode=mode), extract.estimated_cost(tender))
+    """requirements, matrix, risks, deadlines, letter, failures, go_no_go, counts and letters of every case(case_id, title).
+
+    Requirements, hits and the matrix are read several times below, so each is written once to the shared folder.
+    """
+    req = materialise(extract.requirements(tender, policy).withColumn("req_id", F.col("ord")), "requirements")
+    hits = materialise(evidence_hits(req, company, mode=mode), "hits")
+    matrix = materialise(decide.matrix(req, hits, extract.estimated_cost(tender)), "matrix")
     risks, dates = extract.risks(tender), extract.deadlines(tender)
     letter = verify.letter_queries(matrix, dates)
     both = tender.select("case_id", "chunk_id", "text").unionByName(company.select("case_id", "chunk_id", "text"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +63,6 @@ def model_replies(rows: DataFrame, text: str = "reply", schema: str = REPLY) ->
 
     Well-formed replies are parsed by from_json; only the others reach the helper.
     """
-    import json
-
-    import pandas as pd
-
     opts = {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}
 
     @F.pandas_udf("string")
