@@ -36,7 +36,7 @@ def record_bytes(text: Column) -> Column:
 
 
 def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Writes docs(doc_id, text) as Parquet under path with shard, bucket, place; returns what is written with its slot."""
+    """Writes docs(doc_id, text) as Parquet under path with shard, bucket, place; returns what is written."""
     spark = docs.sparkSession
     reach_workers(spark)
     total = docs.agg(F.sum(record_bytes(F.col("text")))).first()[0] or 1
@@ -53,17 +53,22 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
 
     out = rows.repartition(n, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(permute, rows.withColumn("place", F.lit(0).cast("long")).schema)
     out.write.partitionBy("shard").parquet(path)
-    written = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def with_slots(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """Adds slot to rows(shard, bucket, place, ...) of written; rows that leave the text out shuffle none of it."""
     sizes = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # one row a bucket
-    return written.join(sizes.select("shard", "bucket", "before"), ["shard", "bucket"]).withColumn("slot", (F.col("before") + F.col("place")).cast("long"))
+    return rows.join(sizes.select("shard", "bucket", "before"), ["shard", "bucket"]).withColumn("slot", (F.col("before") + F.col("place")).cast("long"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     written = shuffle_to_shards(docs, fresh_path(spark, "shards"))
-    return written.select(
-        "doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"),
-        F.lit("key").alias("law"), F.col("shard").cast("int"), "slot", shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"),
+    crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
+    digest = written.select("doc_id", record_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), "shard", "bucket", "place")
+    return with_slots(digest, written).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), "slot", shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard")
     )

@@ -221,13 +221,15 @@ def test_shards(spark):
 
     rng = random.Random(3)
     docs = frame(spark, [(i, prose(rng, 20)) for i in range(400)] + [(9, "again"), (9, "again"), (None, None)])
-    rows = H.shuffle_to_shards(docs.select("doc_id", "text"), fresh_path(spark, "sh"), bucket_bytes=2000)
+    written = H.shuffle_to_shards(docs.select("doc_id", "text"), fresh_path(spark, "sh"), bucket_bytes=2000)
+    rows = H.with_slots(written, written)
     got = rows.withColumn("grown", H.shard_of(F.col("doc_id"), 9)).collect()
     assert len(got) == 403 and len({r.bucket for r in got}) > 1
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
     assert all(r.grown in (r.shard, 8) for r in got) and any(r.grown == 8 for r in got)
-    again = {(r.doc_id, r.slot, r.shard) for r in H.shuffle_to_shards(docs.select("doc_id", "text").repartition(3), fresh_path(spark, "sh"), bucket_bytes=2000).collect()}
+    written = H.shuffle_to_shards(docs.select("doc_id", "text").repartition(3), fresh_path(spark, "sh"), bucket_bytes=2000)
+    again = {(r.doc_id, r.slot, r.shard) for r in H.with_slots(written, written).collect()}
     assert again == {(r.doc_id, r.slot, r.shard) for r in got}
 
 
