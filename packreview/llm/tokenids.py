@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packreview.llm.common import discard, fresh_path, map_rows, materialise, reach_workers, table
-from packreview.llm.wordids import WordIds
+from packreview.llm.wordids import WordIds, flatten, gather
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 20
-_PLAIN = re.compile("[a-z]+")
+#: Letters that the vocabulary's normaliser and splitter leave alone, and marks that follow them as a piece of their own.
+_PLAIN, _LETTER, _MARKS = re.compile("[a-zß-öø-ÿ]+"), re.compile("[a-zß-öø-ÿ]"), ".,;:!?*$%&#@"
 
 
 def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -63,7 +65,11 @@ def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """The tokenizers library, word by word. Words of a-z alone skip its normaliser and splitter, which leave them whole."""
+    """The tokenizers library over many words at once.
+
+    Words of lower-case Latin letters alone skip its normaliser and splitter, which leave them whole: they are joined by
+    spaces, and a word's ids end with the only id whose piece ends a word. Marks after a letter are a piece of their own.
+    """
 
     def __init__(self, path: str):
         import os
@@ -74,16 +80,48 @@ class LibraryEncoder:
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.full.encode_special_tokens = self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        """A word that ends in one of .,;:!? after a-z is its stem and then the mark."""
-        stems = [w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" and "a" <= w[-2] <= "z" else w for w in words]
-        unique = list(dict.fromkeys([*stems, *".,;:!?"]))
-        ids: dict[str, list[int]] = {}
-        for tokenizer, some in ((self.plain, [w for w in unique if _PLAIN.fullmatch(w)]), (self.full, [w for w in unique if not _PLAIN.fullmatch(w)])):
-            ids.update(zip(some, (e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [ids[s] + ids[w[-1]] if len(s) < len(w) else ids[s] for s, w in zip(stems, words, strict=True)]
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.full.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flatten([e.ids for e in self.full.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [" ".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
+        ids, _ = flatten([e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or (len(ends) and ends[-1] != len(ids)):  # a vocabulary that lacks some letter at a word's end
+            return self._one_by_one(pieces)
+        return ids, np.diff(ends, prepend=0)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the ids of each word."""
+        pieces: dict[str, int] = {"": 0}
+        parts = np.zeros(2 * len(words), np.int64)
+        for i, w in enumerate(words):
+            stem = w.rstrip(_MARKS)
+            if len(stem) == len(w) or not stem or not _LETTER.match(stem[-1]):
+                parts[2 * i] = pieces.setdefault(w, len(pieces))
+            else:
+                parts[2 * i] = pieces.setdefault(stem, len(pieces))
+                parts[2 * i + 1] = pieces.setdefault(w[len(stem) :], len(pieces))
+        plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        sizes, begin, flat, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+        every = list(pieces)
+        for encode, at in ((self._joined, np.flatnonzero(plain)), (self._one_by_one, np.flatnonzero(~plain))):
+            ids, n = encode([every[k] for k in at])
+            sizes[at], begin[at] = n, used + np.cumsum(n) - n
+            flat.append(ids)
+            used += len(ids)
+        return gather(np.concatenate(flat), begin[parts], sizes[parts]), sizes[parts].reshape(-1, 2).sum(axis=1)
+
+
+@lru_cache(1)
+def remembered(vocabulary: str) -> WordIds:
+    """The memo of a Python worker, which later tasks find filled."""
+    return WordIds(LibraryEncoder(vocabulary))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -101,12 +139,9 @@ def words_of(text: str | None) -> list[str]:
 
 def encode_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     """Adds ids (binary, little-endian unsigned 16-bit, `end` last) and n_tokens to docs(text, ...)."""
-    state: dict[str, WordIds] = {}
 
     def run(texts: list[str | None]) -> dict[str, list]:
-        if not state:
-            state["words"] = WordIds(LibraryEncoder(vocabulary))
-        ids, n = state["words"].of([words_of(t) for t in texts])
+        ids, n = remembered(vocabulary).of([words_of(t) for t in texts])
         ends = np.cumsum(n)
         last = np.array([end], "<u2").tobytes()
         return {"ids": [ids[e - k : e].astype("<u2").tobytes() + last for e, k in zip(ends, n, strict=True)], "n_tokens": n + 1}

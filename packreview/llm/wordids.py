@@ -3,33 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 MEMO_WORDS = 300_000
 
 
+class _Index(dict):
+    """word -> its number; a word that is asked for first gets the next number and is noted in `new`."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def flatten(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one list after another, and the lists' sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat of these begins and sizes, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class WordIds:
-    """encode(words) -> one id list per word; it is called only for words that are not remembered."""
+    """encode(words) -> (all ids, ids of each word); it is called only for words that are not remembered."""
 
-    def __init__(self, encode: Callable[[list], list], known: dict | None = None, dtype=np.uint16):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], known: dict | None = None, dtype=np.uint16):
         self.encode, self.known, self.dtype = encode, known or {}, dtype
         self._start()
 
     def _start(self) -> None:
-        self.index: dict = {}
+        self.index = _Index()
         self.flat, self.begin, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        self._add(list(self.known), list(self.known.values()))
+        for word in self.known:
+            self.index[word]
+        self._add(lambda words: flatten([self.known[w] for w in words]))
 
-    def _add(self, words: list, ids: list) -> None:
-        if not words:
+    def _add(self, encode: Callable) -> None:
+        """Encodes the words that the index has noted."""
+        if not self.index.new:
             return
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
+        ids, sizes = encode(self.index.new)
+        self.index.new = []
+        total = len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * (self.used + total), self.dtype)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.dtype, total)
-        self.index.update(zip(words, range(len(self.begin), len(self.begin) + len(words)), strict=True))
+        self.flat[self.used : self.used + total] = ids
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.used += total
@@ -38,15 +66,9 @@ class WordIds:
         """All ids of the texts' words, one text after another, and how many each text has."""
         if len(self.index) > MEMO_WORDS + len(self.known):
             self._start()
-        flat = [w for t in texts for w in t]
-        new = list(set(flat).difference(self.index))
-        if new:
-            self._add(new, self.encode(new))
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)]
         words = np.fromiter(map(len, texts), np.int64, len(texts))
-        reach = np.concatenate([[0], ends])[np.cumsum(words)]
-        return ids, np.diff(np.concatenate([[0], reach]))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(words.sum()))
+        self._add(self.encode)
+        size = self.size[at]
+        reach = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words)]
+        return gather(self.flat, self.begin[at], size), np.diff(np.concatenate([[0], reach]))
