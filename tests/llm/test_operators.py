@@ -203,6 +203,7 @@ def test_token_files_round_trip(spark):
     lib = Tokenizer.from_file(P.path(K.VOCABULARY))
     lib.encode_special_tokens = True
     texts = ["Hello, WORLD!! it's  x. y ÉCOLE µm don't a.b. <|endoftext|>", None, "", "İstanbul ΣΑΣ é ﬁ 12.5; abc;; 日本。語", "a\xa0b\x1cc", "end.", "x" * 500]
+    texts += ["é'S a's ''t it's. ÀÉ é,é", "x'', don't..'s a1b2. b2, ß÷µ. ÿª.", "é. , ,\u0301 a,\u0301", "<|endoftext|>. a<|endoftext|>", "a..b ... &&& word&&&, 한국어, ПРИВЕТ!"]
     docs = frame(spark, list(enumerate(texts)))
     path = fresh_path(spark, "ids")
     encoded = K.encode_ids(docs.select("doc_id", "text"), P.path(K.VOCABULARY)).drop("text")
