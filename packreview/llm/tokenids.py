@@ -96,11 +96,11 @@ class LibraryEncoder:
             return self._one_by_one(pieces)
         return ids, np.diff(ends, prepend=0)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the ids of each word."""
         pieces: dict[str, int] = {"": 0}
         parts = np.zeros(2 * len(words), np.int64)
-        for i, w in enumerate(words):
+        for i, w in enumerate(x.decode("utf-8", "surrogatepass") for x in words):
             stem = w.rstrip(_MARKS)
             if len(stem) == len(w) or not stem or not _LETTER.match(stem[-1]):
                 parts[2 * i] = pieces.setdefault(w, len(pieces))
@@ -124,17 +124,17 @@ def remembered(vocabulary: str) -> WordIds:
     return WordIds(LibraryEncoder(vocabulary))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Pieces between white space; lower case where that is the same character by character."""
+def words_of(text: str | None) -> list[bytes]:
+    """UTF-8 pieces between white space; A-Z in lower case where no combining sign can follow them."""
     if not text:
         return []
-    if text.isascii():
-        return text.lower().split()
-    try:
-        text.encode("latin-1")
-        return re.split("[ \t-\r]+", text.lower()) if "µ" not in text else re.split("[ \t-\r]+", text)
-    except UnicodeEncodeError:
-        return re.split("[ \t-\r]+", text)
+    raw = text.encode("utf-8", "surrogatepass")
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return raw.split()
+    return raw.lower().split()
 
 
 def encode_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:

@@ -35,7 +35,10 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """encode(words) -> (all ids, ids of each word); it is called only for words that are not remembered."""
+    """encode(words) -> (all ids, ids of each word); it is called only for words that are not remembered.
+
+    A full memo starts anew with the words that were asked for at least twice since it last did; most words occur once.
+    """
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], known: dict | None = None, dtype=np.uint16):
         self.encode, self.known, self.dtype = encode, known or {}, dtype
@@ -44,10 +47,23 @@ class WordIds:
     def _start(self) -> None:
         self.index = _Index()
         self.flat, self.begin, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.asked = np.zeros(0, np.int64)
         for word in self.known:
             self.index[word]
         self._add(lambda words: flatten([self.known[w] for w in words]))
 
+    def _renew(self) -> None:
+        at = np.flatnonzero(self.asked >= 2)
+        at = at[at >= len(self.known)]
+        if len(at) > MEMO_WORDS // 2:
+            at = np.sort(at[np.argsort(-self.asked[at], kind="stable")[: MEMO_WORDS // 2]])
+        words = list(self.index)
+        kept, ids, sizes = [words[i] for i in at], gather(self.flat, self.begin[at], self.size[at]), self.size[at]
+        self._start()
+        for word in kept:
+            self.index[word]
+        self._add(lambda _: (ids, sizes))
+
     def _add(self, encode: Callable) -> None:
         """Encodes the words that the index has noted."""
         if not self.index.new:
@@ -60,15 +76,17 @@ class WordIds:
         self.flat[self.used : self.used + total] = ids
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
+        self.asked = np.concatenate([self.asked, np.zeros(len(sizes), np.int64)])
         self.used += total
 
     def of(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts' words, one text after another, and how many each text has."""
         if len(self.index) > MEMO_WORDS + len(self.known):
-            self._start()
+            self._renew()
         words = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(words.sum()))
         self._add(self.encode)
+        self.asked += np.bincount(at, minlength=len(self.asked))
         size = self.size[at]
         reach = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words)]
         return gather(self.flat, self.begin[at], size), np.diff(np.concatenate([[0], reach]))
