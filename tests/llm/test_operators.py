@@ -193,6 +193,25 @@ def test_variable_length_coding():
         assert (vbyte_decode(*vbyte_encode(v), n) == v).all()
 
 
+def test_word_memo_starts_anew_with_recurring_words(monkeypatch):
+    from packreview.llm import wordids
+
+    monkeypatch.setattr(wordids, "MEMO_WORDS", 6)
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return wordids.flatten([[len(w)] * (len(w) % 3) for w in words])
+
+    memo = wordids.WordIds(encode, {"known": [7, 8]})
+    texts = [["a", "bb", "a", "known"], [], ["bb", "cccc"], ["d" * i for i in range(1, 8)], ["a", "bb", "cccc", "known"]]
+    for t in texts:
+        ids, n = memo.of([t, []])
+        want = [i for w in t for i in ([7, 8] if w == "known" else [len(w)] * (len(w) % 3))]
+        assert ids.tolist() == want and n.tolist() == [len(want), 0]
+    assert asked.count("a") == asked.count("bb") == 1 and asked.count("cccc") == 2
+
+
 def test_token_files_round_trip(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -202,7 +221,7 @@ def test_token_files_round_trip(spark):
 
     lib = Tokenizer.from_file(P.path(K.VOCABULARY))
     lib.encode_special_tokens = True
-    texts = ["Hello, WORLD!! it's  x. y ÉCOLE µm don't a.b. <|endoftext|>", None, "", "İstanbul ΣΑΣ é ﬁ 12.5; abc;; 日本。語", "a\xa0b\x1cc", "end.", "x" * 500]
+    texts = ["Hello, WORLD!! it's  x. y ÉCOLE µm don't a.b. <|endoftext|>", None, "", "İstanbul ΣΑΣ é ﬁ 12.5; abc;; 日本。語", "a\xa0b\x1cc", "end.", "x" * 500, "a\x1cb C\x1fD"]
     texts += ["é'S a's ''t it's. ÀÉ é,é", "x'', don't..'s a1b2. b2, ß÷µ. ÿª.", "é. , ,\u0301 a,\u0301", "<|endoftext|>. a<|endoftext|>", "a..b ... &&& word&&&, 한국어, ПРИВЕТ!"]
     docs = frame(spark, list(enumerate(texts)))
     path = fresh_path(spark, "ids")
