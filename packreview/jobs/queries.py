@@ -10,6 +10,7 @@ from packreview.functions import text as T
 from packreview.jobs import review as R
 from packreview.operators import chunking, decide, evaluate, extract, retrieval, verify
 from packreview.sources import packs
+from packreview.sources.scratch import materialise
 
 # Procurement text derived from the customer and supplier tables; the same statements run in Spark and in DuckDB.
 TENDER = """
@@ -326,7 +327,7 @@ m AS (SELECT case_id, text, CASE WHEN rank IS NULL THEN 'missing' WHEN rule IN (
 
 
 def _decided(s, d) -> DataFrame:
-    """The matrix where a case's evidence is its first eight company chunks in order."""
+    """The matrix where a case's evidence is its first eight company chunks in order, as in the SQL; _searched() has the whole job."""
     req = extract.requirements(tender(s, d)).withColumn("req_id", F.col("ord"))
     top = extract.with_optional(company(s, d)).withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("pos"))).where("rank <= 8")
     hits = req.select("case_id", "req_id").join(top, "case_id").select("case_id", "req_id", "rank", "chunk_id", "text", "page", "clause", "filename")
@@ -349,6 +350,27 @@ def dec11_counts(s, d):
     return decide.decision_counts(_decided(s, d)).drop("summary")
 
 
+def _searched(s, d) -> DataFrame:
+    """The matrix where each requirement's evidence is what a search for it finds among all company chunks of its case."""
+    req = materialise(extract.requirements(tender(s, d)).withColumn("req_id", F.col("ord")), "requirements")
+    return decide.matrix(req, R.evidence_hits(req, company(s, d)))
+
+
+@query()
+def dec9_matrix_searched(s, d):
+    return _searched(s, d).select("case_id", "req_id", "text", "decision", "obligation", "rationale", "evidence_chunk_id")
+
+
+@query()
+def dec10_go_no_go_searched(s, d):
+    return decide.go_no_go(table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("case_id")), _searched(s, d))
+
+
+@query()
+def dec11_counts_searched(s, d):
+    return decide.decision_counts(_searched(s, d))
+
+
 @query("""SELECT lang, CASE max(r) WHEN 3 THEN 'not_met' WHEN 2 THEN 'missing' WHEN 1 THEN 'unclear' ELSE 'met' END AS worst FROM (SELECT lang, CASE WHEN toxic = 1 AND quality = 0 THEN 3 WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS r
  FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL) GROUP BY lang""")
 def dec12_worst(s, d):
