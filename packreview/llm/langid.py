@@ -1,17 +1,22 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
-Each language's dictionary is raw content for zstandard: whole sample texts of that language, as many bytes for each.
+Each language's dictionary is raw content for zstandard: whole sample texts of that language, DICT_BYTES of them or as
+many as there are. A sample shorter than the longest is repeated to its length, which adds nothing to find but lets
+zstandard treat all dictionaries alike; a rare language so leaves the dictionaries of the others whole.
 A text is cut into blocks of BLOCK characters, every block is compressed once with every dictionary, and the sizes
 are added up, so the end of a long text counts like its start. The smallest sum wins. The score is the softmax of the
 saved bytes a block; where the margin to the runner-up is under MARGIN of the smallest sum the prediction is `rejected`
 (the best guess still stands in lang_pred).
 
 Edge cases: null text or text without letters is `und` with score 0; ties take the language first in order; repeated
-rows are predicted alike; without any labelled text everything is `und`; lang, source and ids never reach a prediction.
+rows are predicted alike; without any labelled text everything is `und`; a language whose sample is under LEAST_BYTES has
+no dictionary and is never predicted (a warning names it); lang, source and ids never reach a prediction.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +26,8 @@ from packreview.llm.common import is_held_out, map_rows, table
 
 #: The documented bound of the training sample: texts of each language, and bytes of each dictionary.
 DOCS_PER_LANG, DICT_BYTES = 120, 96 << 10
+#: Bytes of a sample that a dictionary needs at least.
+LEAST_BYTES = 64
 BLOCK, LEVEL, MARGIN = 3000, 3, 0.01
 
 
@@ -42,11 +49,13 @@ def training_texts(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> dict[str,
 
 
 def dictionaries(texts: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionaries of the same size for all languages, as far as the shortest sample goes."""
+    """Raw dictionaries: the first `size` bytes of each language's own sample, short ones repeated to the longest."""
     joined = {lang: "\n".join(ts).encode("utf-8", "surrogatepass") for lang, ts in texts.items()}
-    joined = {lang: b for lang, b in joined.items() if len(b) >= 64}
-    least = min([size, *map(len, joined.values())])
-    return {lang: joined[lang][:least] for lang in sorted(joined)}
+    if short := sorted(lang for lang, b in joined.items() if len(b) < LEAST_BYTES):
+        warnings.warn(f"languages with under {LEAST_BYTES} bytes of sample are left out: {', '.join(short)}", stacklevel=2)
+    kept = {lang: joined[lang][:size] + b"\n" for lang in sorted(joined) if lang not in short}
+    most = max(map(len, kept.values()), default=1) - 1
+    return {lang: (b * -(-most // len(b)))[:most] for lang, b in kept.items()}
 
 
 class Compressors:
