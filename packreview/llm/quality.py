@@ -4,7 +4,8 @@ P(grade > k) = sigmoid(f - threshold_k) with one score f for all grades: the mea
 and byte trigrams, shared by all thresholds, which are kept in order by learning their (positive) gaps. The expected
 grade is the sum of the tail probabilities; P(grade >= keep_grade) selects texts.
 
-Edge cases: null, empty or blank texts have f = 0 and so the thresholds' base rates; one grade only, or no labels, gives
+Edge cases: null, empty or blank texts have f = 0 and so the thresholds' base rates; grades may be fractions,
+and more than toxicity.MAX_CLASSES of them are an error; one grade only, or no labels, gives
 every text that grade (0 if none); ties and repeated rows are scored alike; extra columns pass through.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from packreview.llm.common import is_held_out, map_rows, table
 from packreview.llm.textbag import WordScores, word_table
-from packreview.llm.toxicity import training_sample
+from packreview.llm.toxicity import rated, training_sample
 
 PER_GRADE = 1200  # the documented bound of the training sample, for each grade
 BUCKETS, ORDERS, SELECT = 1 << 17, (3,), 0.5
@@ -26,7 +27,7 @@ BUCKETS, ORDERS, SELECT = 1 << 17, (3,), 0.5
 
 @dataclass
 class OrdinalModel:
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one fewer than grades
 
@@ -40,7 +41,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[str], ratings: list[int], priors: dict[int, float] | None = None, epochs: int = 12, seed: int = 3) -> OrdinalModel:
+def fit(texts: list[str], ratings: list[float], priors: dict[float, float] | None = None, epochs: int = 12, seed: int = 3) -> OrdinalModel:
     """AdaGrad on the negative log likelihood of the ratings, each grade weighted to its share `priors`."""
     grades = sorted(set(ratings))
     if len(grades) < 2:
@@ -93,13 +94,13 @@ def fit(texts: list[str], ratings: list[int], priors: dict[int, float] | None =
 
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", per_grade: int = PER_GRADE) -> OrdinalModel:
     """Fits on a bounded sample of the ratings; the grades' shares are counted over all rated rows but the held-out quarter."""
-    rows = labels.where(F.col(rating).isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy(rating).agg(F.count("*").alias("n")).collect()
+    rows = rated(labels, rating).groupBy("y").agg(F.count("*").alias("n")).collect()
     total = sum(r.n for r in rows) or 1
     sample = training_sample(docs, labels, rating, per_grade)
     return fit([t for t, _ in sample], [y for _, y in sample], {r[0]: r.n / total for r in rows})
 
 
-def grade(docs: DataFrame, model: OrdinalModel, keep_grade: int | None = None) -> DataFrame:
+def grade(docs: DataFrame, model: OrdinalModel, keep_grade: float | None = None) -> DataFrame:
     """Adds expected_grade, tail (array: P(grade > each lower grade)), p_keep and keep to docs(text, ...). No shuffle."""
     keep_grade = model.grades[-1] if keep_grade is None else keep_grade
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -124,7 +125,7 @@ def grade(docs: DataFrame, model: OrdinalModel, keep_grade: int | None = None) -
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, held_out, expected_grade, p_keep (P(quality >= 1)), keep. More than two grades need no change."""
+    """Per document: doc_id, held_out, expected_grade, p_keep (P(quality >= 1)), keep. More than two grades need no change, up to MAX_CLASSES."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = grade(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_keep", "keep")

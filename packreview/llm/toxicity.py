@@ -25,6 +25,8 @@ from packreview.llm.textbag import WordScores, fold_words, word_table
 
 #: Training rows of each class at most: the documented bound of the sample that the classifier is fitted on.
 PER_CLASS = 1500
+#: Classes or grades at most; more are an error, never a choice among them.
+MAX_CLASSES = 128
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 12, 6
 ORDERS = (3, 4, 5)
 THRESHOLD = 0.3
@@ -119,11 +121,20 @@ def score_texts(texts: list[str | None], words: WordScores, bias: float) -> np.n
     return 1 / (1 + np.exp(-np.clip(top, -60, 60)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
+def rated(labels: DataFrame, label: str) -> DataFrame:
+    """Rows outside the held-out quarter with their label as y: whole numbers as long, others as double; null and NaN are no label."""
+    whole = labels.schema[label].dataType.typeName() in ("boolean", "byte", "short", "integer", "long")
+    rows = labels.where(~is_held_out(F.col("doc_id"))).withColumn("y", F.col(label).cast("long" if whole else "double"))
+    return rows.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> list[tuple[str, float]]:
     """At most per_class labelled rows of each class, chosen by a hash of the id, never from the held-out quarter."""
-    lab = labels.where(F.col(label).isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    lab = rated(labels, label).groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)))
-    classes = [r[0] for r in lab.select("y").distinct().limit(16).collect()]
+    classes = [r[0] for r in lab.select("y").distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} grades; round them to fewer first")
     some = None
     for y in sorted(classes):
         part = lab.where(F.col("y") == y).orderBy("h").limit(per_class).select("doc_id", "y")

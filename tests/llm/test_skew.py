@@ -25,3 +25,37 @@ def test_rare_language_leaves_the_others_whole(spark):
     got = {r.doc_id: r.lang_pred for r in L.identify(spark.createDataFrame(rows, DOCS), dicts).collect()}
     right = {k: np.mean([got[i] == k for i, _, lang, *_ in rows if lang == k]) for k in ("aa", "bb", "cc")}
     assert right["aa"] > 0.95 and right["bb"] > 0.95 and right["cc"] > 0.6, right
+
+
+@pytest.mark.parametrize(("grades", "kind"), [([float(g) for g in range(20)], "int"), ([1.0, 2.5, 3.25, 3.5], "double"), ([1.0, 2.5, 3.25, 3.5], "decimal(4,2)")])
+def test_every_grade_is_learned(spark, grades, kind):
+    from packreview.llm import quality as Q
+    from packreview.llm.toxicity import training_sample
+
+    rows = [(i, f"word{grades[i % len(grades)]} other{i % 7} text", grades[i % len(grades)]) for i in range(40 * len(grades))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, y0 double").select("doc_id", Q.F.col("y0").cast(kind).alias("quality"))
+    sample = training_sample(docs, labels, "quality", 9)
+    assert sorted({y for _, y in sample}) == grades and all(f"word{float(y)} " in t for t, y in sample)
+    model = Q.train(docs, labels)
+    assert model.grades == grades and len(model.thresholds) == len(grades) - 1 and (np.diff(model.thresholds) > 0).all()
+    out = Q.grade(docs, model).agg(Q.F.min("expected_grade"), Q.F.max("expected_grade")).first()
+    assert grades[0] <= out[0] < out[1] <= grades[-1]
+
+
+def test_shares_of_fractional_grades(spark, monkeypatch):
+    from packreview.llm import quality as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "fit", lambda texts, ratings, priors: seen.update(priors=priors, ratings=ratings))
+    rows = [(i, 3.5 if i % 4 else 1.5) for i in range(400)]
+    Q.train(spark.createDataFrame([(i, "t") for i, _ in rows], "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, quality double"))
+    assert set(seen["ratings"]) == set(seen["priors"]) == {1.5, 3.5} and sum(seen["priors"].values()) == pytest.approx(1)
+
+
+def test_too_many_grades_are_an_error(spark):
+    from packreview.llm import toxicity as X
+
+    labels = spark.range(2000).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "doc_id / 2000 as quality")
+    with pytest.raises(ValueError, match="more than 128 grades"):
+        X.training_sample(labels.selectExpr("doc_id", "'t' as text"), labels, "quality")
