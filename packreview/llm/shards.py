@@ -1,6 +1,6 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records by a seeded hash of the id into buckets that fit memory; pass two puts a bucket's records in
+Pass one scatters records by a seeded hash of the id and the text into buckets that fit memory; pass two puts a bucket's records in
 a Fisher-Yates order (seeded by shard and bucket) and writes them. A shard is the concatenation of its buckets, so each
 record's slot is its place in the bucket after the buckets before it.
 
@@ -8,7 +8,9 @@ Law `key`: the shard is the one with the highest seeded hash of (id, shard), whi
 shards alone; with one more shard a record either stays or goes to the new one.
 
 Edge cases: null text is 0 bytes (size 1, checksum of nothing); null ids hash like any value; ties in hash are broken by
-the smaller shard; repeated rows each have a slot of their own, in one bucket; an empty table has no rows.
+the smaller shard; repeated rows each have a slot of their own, in one bucket, or where they would fill a quarter of one, in
+all buckets of their shard by their place in the input (so the slots of those shards depend on its layout); an empty table
+has no rows.
 """
 
 from __future__ import annotations
@@ -39,11 +41,19 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
     """Writes docs(doc_id, text) as Parquet under path with shard, bucket, place; returns what is written."""
     spark = docs.sparkSession
     reach_workers(spark)
-    total = docs.agg(F.sum(record_bytes(F.col("text")))).first()[0] or 1
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
-    spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed + 1)), F.lit(buckets)).cast("int")
-    rows = docs.select("doc_id", "text", shard_of(F.col("doc_id"), shards, seed).alias("shard"), spread.alias("bucket"))
-    n = max(shards * buckets, 1)
+    rows = docs.select("doc_id", "text", shard_of(F.col("doc_id"), shards, seed).alias("shard"), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed + 1)).alias("__h"))
+    held = rows.select("shard", "__h", record_bytes(F.col("text")).alias("size"))
+    # each shard has as many buckets as its own bytes need: ids may fill one shard more than others
+    sizes = {r.shard: r.size for r in held.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    buckets = [max(1, -(-sizes.get(i, 0) // bucket_bytes)) for i in range(shards)]
+    # equal rows hash alike; where they fill a quarter of a bucket together, their place in the input spreads them.
+    # Such groups are at most four for each bucket, so they may be broadcast.
+    equal = held.groupBy("__h").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where(F.col("n") > 1).where(F.col("size") > bucket_bytes // 4)
+    rows = rows.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(equal.select("__h", F.lit(True).alias("__many"))), "__h", "left")
+    salt = F.when(F.col("__many"), F.col("__at")).otherwise(F.lit(-1))
+    many = F.element_at(F.array(*map(F.lit, buckets)), F.col("shard") + 1)
+    rows = rows.select("doc_id", "text", "shard", F.pmod(F.xxhash64("__h", salt), many).cast("int").alias("bucket"))
+    n = sum(buckets)
 
     def permute(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # tasks that run again agree

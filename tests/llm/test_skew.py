@@ -59,3 +59,24 @@ def test_too_many_grades_are_an_error(spark):
     labels = spark.range(2000).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "doc_id / 2000 as quality")
     with pytest.raises(ValueError, match="more than 128 grades"):
         X.training_sample(labels.selectExpr("doc_id", "'t' as text"), labels, "quality")
+
+
+@pytest.mark.parametrize("text", ["same", "other"])
+def test_one_id_fills_no_bucket(spark, text):
+    """A third of all bytes under one id, with equal or different texts, or without an id."""
+    from packreview.llm import shards as H
+    from packreview.llm.common import fresh_path
+
+    hot = [(7 if i % 2 else None, "x" * 99 if text == "same" else f"{i:099d}") for i in range(600)]
+    rows = hot + [(1000 + i, "y" * 99) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    limit = 5000
+    got = H.with_slots(w := H.shuffle_to_shards(docs, fresh_path(spark, "hot"), bucket_bytes=limit), w).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows)
+    assert len({r.shard for r in got if r.doc_id == 7}) == len({r.shard for r in got if r.doc_id is None}) == 1
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    sizes = {}
+    for r in got:
+        sizes[r.shard, r.bucket] = sizes.get((r.shard, r.bucket), 0) + 100
+    assert max(sizes.values()) <= 1.8 * limit, sizes
