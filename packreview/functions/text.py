@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,25 +34,48 @@ NUMBER_WORDS = {
     "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
 }
 SIMILAR_WORK = r"similar(?:\s+[a-z]+){0,4}\s+works?\b"
+# Where \d stands in a pattern it is any decimal digit; [0-9] is the ASCII ones alone.
 PREFIXED_AMOUNT = r"(?i)(?:₹|rs\.?|inr)\s*([0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]{4,})"
 SCALED_AMOUNT = (
-    r"(?i)(?:(?:rs\.?|inr|₹)\s*)?([0-9]+(?:\.[0-9]+)?|one|two|three|four|five|ten|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)"
+    r"(?iU)(?:(?:rs\.?|inr|₹)\s*)?"
+    r"(\d+(?:\.\d+)?|one|two|three|four|five|ten|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)"
     r"\s*(lakh|lakhs|crore|crores)\b"
 )
 DATE = (
-    r"(?i)\b([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{1,2}[\s-](?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*[\s-][0-9]{2,4})\b"
+    r"(?iU)\b(\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|"
+    r"\d{1,2}[\s-](?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*[\s-]\d{2,4})\b"
 )
-CLAUSE = r"(?i)^(?:clause\s+)?([0-9]+(?:\.[0-9]+)*)(?:\s*[).:-]|\s+)"
+CLAUSE = r"(?iU)^(?:clause\s+)?(\d+(?:\.\d+)*)(?:\s*[).:-]|\s+)"
 ALTERNATIVE = (
-    r"(?is)(?:([0-9]+)\s*\(\s*(one|two|three|four)\s*\)|(one|two|three|four|[0-9]+))\s+similar(?:\s+[a-z]+){0,4}\s+works?\b.{0,220}?"
-    r"(?:not less than|at least)(?:\s*(?:rs\.?|inr|₹|rupees))?\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*(lakh|lakhs|crore|crores))?"
+    r"(?isU)(?:(\d+)\s*\(\s*(one|two|three|four)\s*\)|(one|two|three|four|\d+))\s+similar(?:\s+[a-z]+){0,4}\s+works?\b"
+    r".{0,220}?(?:not less than|at least)(?:\s*(?:rs\.?|inr|₹|rupees))?\s*([0-9][0-9,]*(?:\.\d+)?)"
+    r"(?:\s*(lakh|lakhs|crore|crores))?"
+)
+PERCENT = r"(?iU)(\d{1,3}(?:\.\d+)?)\s*(?:%|percent)"
+HEADCOUNTS = (
+    r"(?iU)(?:not less than|not be less than|at least|minimum of|minimum)\s+(\d{2,5})",
+    r"(?iU)(?:manpower on roll is|on roll is)\s+(\d{1,5})",
+    r"(?iU)(\d{2,5})\s+security guards",
 )
 SENTENCE_END = r"""(?<=\.)(?<!(?:^|[\s(])(?i:rs|mr|mrs|ms|dr|no|cl|fig|vol|vs|etc)\.)\s+(?=[A-Z0-9("'])"""
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
+MONEY_WORD = r"(?i)\b(shall|must|should|rs\.?|inr|rupees?|lakh|lakhs|crore|crores)\b|₹"
+PART_WORD = r"(?i)^(section|annexure|appendix|schedule|chapter|part|clause)\b"
+NEW_ITEM = r"(?iU)^(?:\d+(?:\.\d+)*\s*[).:\-]\s+\S|(?::\s*)?(?:bidder\b|the\s+bidder\b|earnest\b|emd\b))"
 MODAL = r"(?i)\b(shall|must|should|required|requirement)\b"
 OBLIGATION = r"(?i)\b(shall|should|must|required|bidder|emd|earnest)\b"
 SECTION_HINT = r"(?i)eligib|qualif|earnest|\bemd\b|turnover|solvency|criteria|experience|blacklist|document"
 BANNER = r"(?i)synthetic|fictional|udin"
-FACT = r"(?i)turnover|gst|pan\b|blacklist|solvency|manpower|psara|iso|licen[cs]e|loss|work|\brs\.?\b|₹|\binr\b|[0-9]"
+FACT = r"(?iU)turnover|gst|pan\b|blacklist|solvency|manpower|psara|iso|licen[cs]e|loss|work|\brs\.?\b|₹|\binr\b|\d"
+
+#: Every decimal digit beyond ASCII, and the digits they stand for.
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def ascii_digits(number: Column) -> Column:
+    """A number's digits, whatever their script, as 0 to 9."""
+    return F.when(number.rlike(r"[^\x00-\x7f]"), F.translate(number, "".join(_DIGITS), _VALUES)).otherwise(number)
 
 
 def let(value: Column, body) -> Column:
@@ -101,16 +126,17 @@ def sentences(text: Column) -> Column:
 def amounts_in(text: Column) -> Column:
     """TXT4: array<bigint> of rupee amounts: prefixed figures first, then scaled ones."""
     t = F.coalesce(text, F.lit(""))
-    plain = F.transform(F.regexp_extract_all(t, F.lit(PREFIXED_AMOUNT), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"))
+    figures = F.regexp_extract_all(t, F.lit(PREFIXED_AMOUNT), F.lit(1))
+    plain = F.transform(figures, lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"))
     words = F.create_map(*[F.lit(v) for kv in NUMBER_WORDS.items() for v in (kv[0], float(kv[1]))])
-    scaled = F.zip_with(
-        F.regexp_extract_all(t, F.lit(SCALED_AMOUNT), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(SCALED_AMOUNT), F.lit(2)),
-        lambda n, s: F.bround(
-            F.coalesce(n.try_cast("double"), F.try_element_at(words, F.lower(n)), F.lit(0.0)) * F.when(F.lower(s).startswith("lakh"), 100_000.0).otherwise(10_000_000.0), 0
-        ).cast("bigint"),
-    )
-    return F.when(t.rlike("[0-9]|(?i)lakh|crore"), F.filter(F.concat(plain, scaled), lambda a: a > 0)).otherwise(_longs())
+
+    def amount(n: Column, scale: Column) -> Column:
+        value = F.coalesce(ascii_digits(n).try_cast("double"), F.try_element_at(words, F.lower(n)), F.lit(0.0))
+        return F.bround(value * F.when(F.lower(scale).startswith("lakh"), 100_000.0).otherwise(10_000_000.0), 0).cast("bigint")
+
+    group = lambda g: F.regexp_extract_all(t, F.lit(SCALED_AMOUNT), F.lit(g))
+    every = F.filter(F.concat(plain, F.zip_with(group(1), group(2), amount)), lambda a: a > 0)
+    return F.when(t.rlike(r"[0-9]|(?i)lakh|crore"), every).otherwise(_longs())
 
 
 def has_date(text: Column) -> Column:
@@ -140,9 +166,13 @@ def trigrams(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """0 when either set is empty."""
-    share = let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
+    """0 when either set is empty. Either may be an expression: it is worked out once."""
+
+    def share(x: Column) -> Column:
+        both = let(F.size(F.array_intersect(x["a"], x["b"])), lambda n: n / (F.size(x["a"]) + F.size(x["b"]) - n))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(both)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def trigram_jaccard(query: Column, text: Column) -> Column:
@@ -208,18 +238,15 @@ def threshold_near(text: Column, keyword: Column) -> Column:
 
 def percent_near(text: Column, keyword: Column) -> Column:
     """TXT14: a percentage above 0 and up to 100 round the keyword, else null."""
-    found = F.regexp_extract(window_round(text, keyword, 80, 100), r"(?i)([0-9]{1,3}(?:\.[0-9]+)?)\s*(?:%|percent)", 1).try_cast("double")
-    return F.when((found > 0) & (found <= 100), found)
+    found = F.regexp_extract(window_round(text, keyword, 80, 100), PERCENT, 1)
+    return let(ascii_digits(found).try_cast("double"), lambda x: F.when((x > 0) & (x <= 100), x))
 
 
 def headcount(text: Column) -> Column:
     """TXT15: the first of three patterns that is there."""
     t = F.coalesce(text, F.lit(""))
-    take = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    return F.coalesce(
-        take(r"(?i)(?:not less than|not be less than|at least|minimum of|minimum)\s+([0-9]{2,5})"),
-        take(r"(?i)(?:manpower on roll is|on roll is)\s+([0-9]{1,5})"), take(r"(?i)([0-9]{2,5})\s+security guards"),
-    ).cast("int")
+    found = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in HEADCOUNTS])
+    return ascii_digits(found).try_cast("int")
 
 
 def alternatives(text: Column) -> Column:
@@ -231,8 +258,9 @@ def alternatives(text: Column) -> Column:
 
     def one(x: Column) -> Column:
         scale = F.when(F.lower(x["s"]).startswith("lakh"), 100_000.0).when(F.lower(x["s"]).startswith("crore"), 10_000_000.0).otherwise(1.0)
-        amount = F.bround(F.regexp_replace(x["n"], ",", "").try_cast("double") * scale, 0).cast("bigint")
-        count = F.try_element_at(counts, F.lower(F.when(x["a"] != "", x["a"]).otherwise(x["b"])))
+        number = ascii_digits(F.regexp_replace(x["n"], ",", ""))
+        amount = F.bround(number.try_cast("double") * scale, 0).cast("bigint")
+        count = F.try_element_at(counts, ascii_digits(F.lower(F.when(x["a"] != "", x["a"]).otherwise(x["b"]))))
         return F.struct(count.alias("count"), amount.alias("amount"))
 
     return F.filter(F.transform(zipped, one), lambda x: x["count"].isNotNull() & (x["amount"] > 0))
@@ -271,14 +299,33 @@ def safe_file_name(name: Column) -> Column:
     return F.substring(F.when(clean == "", "document").otherwise(clean), 1, 180)
 
 
+# What a heading is told by, in whole numbers: length, currency or duty words, an opening part word, an opening bracket or
+# colon, digits, letters, capitals, words. Lines joined by a space measure as their sums, but for what only an opening has.
+SPACE_TRAITS = (1, 0, 0, 0, 0, 0, 0, 0)
+GOES_ON_TRAITS = (1, 1, 0, 0, 1, 1, 1, 1)
+
+
+def line_traits(line: Column) -> Column:
+    """array<int>: the measures of a stripped line."""
+    count = lambda but: F.length(F.regexp_replace(line, but, ""))
+    flag = lambda p: line.rlike(p).cast("int")
+    words = F.size(F.split(whitespace_norm(line), " "))
+    return F.array(
+        F.length(line), flag(MONEY_WORD), flag(PART_WORD), flag("^[(:/]"), flag(r"\p{Nd}"), count(r"[^\p{L}]"), count(r"[^\p{Lu}]"), words,
+    )
+
+
+def measures_as_heading(n, money, part, bracket, digits, letters, capitals, words):
+    """CHK3 on measures, which may be Columns, arrays or numbers."""
+    shouted = (bracket == 0) & (digits == 0) & (letters > 0) & (4 * capitals > 3 * letters) & (words <= 12)
+    return (n >= 4) & (n <= 90) & (money == 0) & ((part > 0) | shouted)
+
+
 def is_heading(line: Column) -> Column:
     """CHK3."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    n = F.length(line)
-    return (
-        F.when((n < 4) | (n > 90), False).when(line.rlike(r"(?i)\b(shall|must|should|rs\.?|inr|rupees?|lakh|lakhs|crore|crores)\b|₹"), False)
-        .when(line.rlike(r"(?i)^(section|annexure|appendix|schedule|chapter|part|clause)\b"), True)
-        .when(line.rlike(r"^[(:/]|[0-9]"), False)
-        .otherwise((letters > 0) & (capitals > 0.75 * letters) & (F.size(F.split(whitespace_norm(line), " ")) <= 12))
-    )
+    return let(line_traits(line), lambda t: measures_as_heading(*[F.get(t, F.lit(i)) for i in range(len(SPACE_TRAITS))]))
+
+
+def opens_item(line: Column) -> Column:
+    """A line that begins a numbered item or a duty of the bidder, which no line before it takes in."""
+    return line.rlike(NEW_ITEM)

@@ -2,10 +2,12 @@
 
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from packreview.functions import text as T
 from packreview.jobs import review as R
 from packreview.operators import chunking, evaluate, retrieval, verify
 from packreview.sources import packs
@@ -31,18 +33,97 @@ def company(spark):
     return chunking.chunk_texts(spark.createDataFrame(rows, "document_id string, ordinal int, case_id int, role string, filename string, text string"))
 
 
-def test_merge_and_headings():
-    lines = [(4, "BIDDER SHOULD HAVE AVERAGE ANNUAL TURNOVER"), (4, "(GROSS) OF 88 LAKHS"), (4, "BIDDER SHOULD HAVE AN OFFICE"), (4, "ELIGIBILITY"), (5, "and so on")]
-    assert chunking.merge_wraps(lines) == [(4, "BIDDER SHOULD HAVE AVERAGE ANNUAL TURNOVER (GROSS) OF 88 LAKHS"), (4, "BIDDER SHOULD HAVE AN OFFICE"), (4, "ELIGIBILITY"), (5, "and so on")]
-
-
-def test_chunk_sizes_and_carry():
-    block = [(1, f"{i}.1 " + "x" * 390 + ".") for i in range(4)]
-    got = chunking.pack("d", block)
-    assert [c["chunk_id"] for c in got] == ["d-1", "d-2"] and got[0]["page_start"] == 1
-    carried = chunking.pack("d", [(1, f"{i}.1 " + "y" * 240 + ".") for i in range(6)])
-    assert carried[0]["text"].splitlines()[-1] == carried[1]["text"].splitlines()[0]
-    assert chunking.pack("d", []) == []
+DOC = "document_id string, ordinal int, case_id int, role string, filename string, page int, text string"
+
+
+def chunks_of(spark, pages):
+    """Chunks of one document, in order."""
+    df = spark.createDataFrame([("d", 0, 1, "tender", "f", p, t) for p, t in pages], DOC)
+    return chunking.chunk_documents(df).orderBy("pos").collect()
+
+
+def test_merge_and_headings(spark):
+    lines = "BIDDER SHOULD HAVE AVERAGE ANNUAL TURNOVER\n(GROSS) OF 88 LAKHS\nBIDDER SHOULD HAVE AN OFFICE\nELIGIBILITY"
+    got = chunks_of(spark, [(4, lines), (5, "and so on")])
+    assert [c.text for c in got] == ["BIDDER SHOULD HAVE AVERAGE ANNUAL TURNOVER (GROSS) OF 88 LAKHS\nBIDDER SHOULD HAVE AN OFFICE", "and so on"]
+    assert [(c.page_start, c.section) for c in got] == [(4, None), (5, "ELIGIBILITY")]
+
+
+def test_chunk_sizes_and_carry(spark):
+    got = chunks_of(spark, [(1, "\n".join(f"{i}.1 " + "x" * 390 + "." for i in range(4)))])
+    assert [c.chunk_id for c in got] == ["d-1", "d-2"] and got[0].page_start == 1
+    carried = chunks_of(spark, [(1, "\n".join(f"{i}.1 " + "y" * 240 + "." for i in range(6)))])
+    assert carried[0].text.splitlines()[-1] == carried[1].text.splitlines()[0]
+    assert chunks_of(spark, [(1, ""), (2, None), (3, " \n ")]) == []
+
+
+def test_chunks_against_line_by_line(spark):
+    """The rules said line by line, in numbers: no heading, pages 1 to 3, lines that end a sentence and so never join."""
+    rng = random.Random(5)
+    pages = [(p, [f"{p}{i} " + "a" * rng.choice([20, 150, 280, 296, 400, 900, 1795, 2000]) + "." for i in range(rng.randint(9, 24))]) for p in (1, 2, 3)]
+    got = chunks_of(spark, [(p, "\n\n".join(ls)) for p, ls in pages])
+    want, held, page = [], [], None
+    for p, lines in pages:
+        for x in lines:
+            if held and p != page:
+                want.append(held)
+                held = []
+            elif held and sum(map(len, held)) + len(x) > 1000:
+                want.append(held)
+                held = held[-1:] if len(held[-1]) < 300 else []
+            held, page = [*held, x], p
+            if sum(map(len, held)) >= 1800:
+                want.append(held)
+                held = held[-1:] if len(held[-1]) < 300 else []
+    want += [held] if held else []
+    assert sorted(c.text for c in got) == sorted("\n".join(w) for w in want)
+
+
+def test_digits_of_any_script(spark):
+    rows = [("२.१ The bidder shall have 3 similar works", "एक"), ("Clause ४. EMD of ५ lakh due ०२-०३-२०२६, ४० percent of turnover, at least २५ guards", "दो")]
+    c = F.col("t")
+    got = spark.createDataFrame(rows, "t string, u string").select(
+        T.clause_number(c).alias("clause"), T.amounts_in(c).alias("amounts"), T.has_date(c).alias("date"), T.percent_near(c, F.lit("turnover")).alias("pct"), T.headcount(c).alias("head"), T.is_heading(F.lit("PART २")).alias("part"), T.is_heading(F.lit("SCOPE २")).alias("digit"),
+    ).collect()
+    assert [r.clause for r in got] == ["२.१", "४"] and got[1].amounts == [500_000] and (got[1].date, got[1].pct, got[1]["head"]) == (True, 40.0, 25)
+    assert got[0].part and not got[0].digit
+
+
+def test_containment_meets_few_pairs(spark):
+    from packreview.operators import extract
+    from packreview.operators.contain import pairs_to_compare
+
+    texts = spark.createDataFrame([(1, f"c{i}", f"common words here and number{i} too") for i in range(40)] + [(2, "c0", "number3 too")], "case_id int, chunk_id string, text string")
+    needles = spark.createDataFrame([(1, "a", ["AND number3 too"]), (1, "b", ["absent word here"]), (1, "s", ["mber7"])], "case_id int, key string, phrases array<string>")
+    got = {(r.key, r.chunk_id) for r in pairs_to_compare(needles, texts, "key", F.col("phrases")).collect()}
+    assert {x for x in got if x[0] != "s"} == {("a", "c3")} and len(got) == 41
+    rows = [(1, 1, "pay the fee in time"), (1, 2, "You must pay the fee in time now"), (1, 3, "PAY the fee in time"), (1, 4, "fee"), (1, 5, "another thing"), (1, 6, "thing"), (1, 7, ""), (2, 1, "fee")]
+    kept = extract.dedupe_containment(spark.createDataFrame(rows, "case_id int, ord int, quote string")).collect()
+    assert {(r.case_id, r.ord) for r in kept} == {(1, 1), (1, 5), (2, 1)}
+
+
+def test_padding_equals_all_pairs(spark):
+    rng = random.Random(7)
+    chunks = [(k, f"c{i:02}", i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 5)))) for k in ("x", "y") for i in range(25)]
+    queries = [(k, i, " ".join(rng.choice("abcdefghz") for _ in range(rng.randint(0, 3)))) for k in ("x", "y", "none") for i in range(6)]
+    c = spark.createDataFrame(chunks, "corpus string, chunk_id string, pos int, text string")
+    q = spark.createDataFrame(queries, "corpus string, query_id int, text string")
+    for top in (retrieval.bm25_top, retrieval.hash_vector_top):
+        scores = {(r.corpus, r.query_id, r.chunk_id): r.score for r in top(q, c, 10_000).collect()}
+        got = {(r.corpus, r.query_id, r["rank"]): r.chunk_id for r in top(q, c, 7, pad=True).collect()}
+        want = {}
+        for k, i, t in queries:
+            order = sorted((x for x in chunks if x[0] == k), key=lambda x: (-round(scores.get((k, i, x[1]), 0.0), 9), x[2]))
+            want |= {(k, i, n + 1): x[1] for n, x in enumerate(order[:7])} if t.strip() else {}
+        assert got == want
+
+
+def test_dense_top_of_mixed_vectors(spark):
+    v = [("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", None), ("d", [0.0, 0.0]), ("e", [1.0, 0.0, 0.0]), ("f", [float("nan"), 1.0]), ("g", [1.0, None])]
+    vectors = spark.createDataFrame(v, "id string, vector array<double>")
+    queries = spark.createDataFrame([("q", [2.0, 0.1]), ("r", [0.0, 0.0, 5.0]), ("s", [1.0, None]), ("t", [])], "query_id string, vector array<double>")
+    got = {(r.query_id, r["rank"]): r.id for r in retrieval.dense_top(queries, vectors, 3).collect()}
+    assert got == {("q", 1): "a", ("q", 2): "b", ("r", 1): "e"}
 
 
 def test_chunk_pages(spark):
