@@ -7,11 +7,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packreview.functions import text as T
+from packreview.operators.contain import pairs_to_compare
+
+
+def _holding(needles: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """needles(case_id, key, phrases) with every chunk of their case that holds all phrases: chunk_id, text and pos, if any."""
+    pairs = pairs_to_compare(needles, chunks, key, F.col("phrases"))
+    rows = pairs.join(needles, ["case_id", key]).join(chunks, ["case_id", "chunk_id"])
+    return rows.where(T.contains_all(F.col("text"), F.col("phrases")))
 
 
 def relevant(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """EVL1: queries(case_id, query_id, phrases) -> (case_id, query_id, chunk_id) holding every phrase; queries with none."""
-    found = queries.select("case_id", "query_id", "phrases").join(chunks.select("case_id", "chunk_id", "text"), "case_id").where(T.contains_all(F.col("text"), F.col("phrases"))).select("case_id", "query_id", "chunk_id")
+    asked = queries.select("case_id", "query_id", "phrases")
+    found = _holding(asked, chunks.select("case_id", "chunk_id", "text"), "query_id").select("case_id", "query_id", "chunk_id")
     return found, queries.join(found, ["case_id", "query_id"], "left_anti")
 
 
@@ -22,7 +31,13 @@ def retrieval_scores(hits: DataFrame, rel: DataFrame) -> DataFrame:
     """
     keys = ["case_id", "query_id"]
     n = rel.groupBy(*keys).agg(F.count("*").alias("n"))
-    good = hits.join(rel, [*keys, "chunk_id"]).groupBy("mode", *keys).agg(F.count_if(F.col("rank") <= 5).alias("h5"), F.count_if(F.col("rank") <= 10).alias("h10"), F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"))
+    return scores_of_hits(hits.join(rel.withColumn("good", F.lit(True)), [*keys, "chunk_id"], "left"), n)
+
+
+def scores_of_hits(hits: DataFrame, n: DataFrame) -> DataFrame:
+    """The same where the hits say whether they are `good` and n(case_id, query_id, n) how many relevant chunks there are."""
+    keys = ["case_id", "query_id"]
+    good = hits.where("good").groupBy("mode", *keys).agg(F.count_if(F.col("rank") <= 5).alias("h5"), F.count_if(F.col("rank") <= 10).alias("h10"), F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"))
     grid = hits.select("mode", *keys).distinct().join(n, keys)
     per = grid.join(good, ["mode", *keys], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -37,7 +52,9 @@ def match_gold(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     predictions: case_id, ord, text, quote. gold: case_id, gold_ord, phrases. Only pairs that pass the phrase test reach the fold.
     """
     blob = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("quote", F.lit("")))
-    pairs = predictions.select("case_id", "ord", blob.alias("blob")).join(gold, "case_id").where(T.contains_all(F.col("blob"), F.col("phrases"))).select("case_id", "ord", "gold_ord")
+    texts = predictions.select("case_id", F.col("ord").alias("chunk_id"), blob.alias("text"))
+    wanted = gold.select("case_id", "gold_ord", "phrases")
+    pairs = _holding(wanted, texts, "gold_ord").select("case_id", F.col("chunk_id").alias("ord"), "gold_ord")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         free, used, n = set(), set(), 0
@@ -65,7 +82,7 @@ def micro(counts: DataFrame, *by: str) -> DataFrame:
 def anchors(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """EVL5: for gold(case_id, gold_id, phrases) the first chunk with all phrases and its smallest, then earliest, run of lines with them."""
     lines = F.filter(F.transform(F.split(F.col("text"), r"\R"), T.strip), lambda x: x != "")
-    held = gold.join(chunks.select("case_id", "chunk_id", "pos", "text"), "case_id").where(T.contains_all(F.col("text"), F.col("phrases")))
+    held = _holding(gold.select("case_id", "gold_id", "phrases"), chunks.select("case_id", "chunk_id", "pos", "text"), "gold_id")
     first = held.groupBy("case_id", "gold_id").agg(F.min_by(F.struct("chunk_id", "text", "phrases"), "pos").alias("c")).select("case_id", "gold_id", "c.*")
     first = first.withColumn("lines", F.when(F.size(lines) > 0, lines).otherwise(F.array(T.strip(F.col("text")))))
     n = F.size("lines")
@@ -114,7 +131,8 @@ def entailment_summary(scored: DataFrame) -> DataFrame:
 
 def label_check(gold: DataFrame, labels: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """EVL9: gold rows whose phrases are in no chunk; labels(case_id, gold_id) that point to no gold row."""
-    found = gold.join(chunks.select("case_id", "text"), "case_id").where(T.contains_all(F.col("text"), F.col("phrases"))).select("case_id", "gold_id").distinct()
+    found = _holding(gold.select("case_id", "gold_id", "phrases"), chunks.select("case_id", "chunk_id", "text"), "gold_id")
+    found = found.select("case_id", "gold_id").distinct()
     return gold.join(found, ["case_id", "gold_id"], "left_anti"), labels.join(gold, ["case_id", "gold_id"], "left_anti")
 
 

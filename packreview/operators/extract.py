@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packreview.functions import text as T
+from packreview.operators.contain import pairs_to_compare
+from packreview.sources.scratch import materialise
 
 PLAN_QUERIES = (
     "eligibility criteria qualification turnover similar work experience",
@@ -76,22 +78,32 @@ def deadlines(chunks: DataFrame, limit: int = MAX_DEADLINES) -> DataFrame:
 
 
 def dedupe_containment(rows: DataFrame, quote: str = "quote", order: str = "ord") -> DataFrame:
-    """EXT4: in order, drops a quote whose key contains or is contained in one kept before. Equal keys go first, by window."""
+    """EXT4: in order, drops a quote whose key contains or is contained in one kept before.
+
+    Equal keys go first, by window. Which keys contain which is found by words; only those pairs are folded in order, so
+    a quote that shares nothing never reaches the fold. Of equal `order` in a case, which row stays is undefined.
+    """
     key = F.substring(T.whitespace_norm(F.lower(F.col(quote))), 1, 240)
     keyed = rows.withColumn("__key", key).where("__key <> ''")
-    once = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("case_id", "__key").orderBy(order))).where("__n = 1").drop("__n")
+    turn = F.row_number().over(Window.partitionBy("case_id", "__key").orderBy(order))
+    once = materialise(keyed.withColumn("__n", turn).where("__n = 1").drop("__n"), "quotes")
+    texts = once.select("case_id", F.col(order).alias("whole"), F.col("__key").alias("text"))
+    part = once.select("case_id", F.col(order).alias("part"), "__key")
+    pairs = pairs_to_compare(part, texts, "part", F.array("__key"), "whole").where("part <> whole")
+    pairs = pairs.join(part, ["case_id", "part"]).join(texts, ["case_id", "whole"]).where(F.contains("text", "__key"))
+    pairs = pairs.select("case_id", F.greatest("part", "whole").alias("late"), F.least("part", "whole").alias("early"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        take = []
-        for k in group.sort_values(order)["__key"]:
-            fresh = not any(k in x or x in k for x in kept)
-            take.append(fresh)
-            if fresh:
-                kept.append(k)
-        return group.sort_values(order)[take]
+        """Rows that go: those with an earlier partner that stays."""
+        gone: dict = {}
+        for late, early in group.sort_values(["late", "early"])[["late", "early"]].itertuples(index=False):
+            if not gone.get(early, False):
+                gone[late] = True
+        return pd.DataFrame({"case_id": group["case_id"].iloc[0], order: list(gone)})
 
-    return once.groupBy("case_id").applyInPandas(fold, once.schema).drop("__key")
+    kinds = dict(once.dtypes)
+    gone = pairs.groupBy("case_id").applyInPandas(fold, f"case_id {kinds['case_id']}, `{order}` {kinds[order]}")
+    return once.join(gone, ["case_id", order], "left_anti").select(*rows.columns)
 
 
 def estimated_cost(chunks: DataFrame) -> DataFrame:
@@ -146,13 +158,21 @@ def span_menu(chunks: DataFrame, prefix: str = "S", per_chunk: int = 4, limit: i
 
 
 def chunk_of_quote(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """EXT9: claims(case_id, claim_id, quote, chunk_id) -> found_chunk: the cited chunk if it supports the quote, else the first that does.
+    """EXT9: claims(case_id, claim_id, quote, chunk_id) -> found_chunk: the cited chunk if it supports the quote, else the
+    first that does.
 
-    The cited chunk is an equi-join; only misses meet the chunks of their own case.
+    The cited chunk is an equi-join; of the others a miss meets those that share its quote's rarest word.
     """
-    text = chunks.select("case_id", F.col("chunk_id").alias("found_chunk"), F.col("text").alias("source"), "pos")
-    cited = claims.join(text, (claims.case_id == text.case_id) & (claims.chunk_id == text.found_chunk), "left").select(claims["*"], "found_chunk", T.quote_supported(F.col("quote"), F.col("source")).alias("ok"))
+    source = chunks.select("case_id", F.col("chunk_id").alias("found_chunk"), F.col("text").alias("source"), "pos")
+    supports = T.quote_supported(F.col("quote"), F.col("source"))
+    same = (claims.case_id == source.case_id) & (claims.chunk_id == source.found_chunk)
+    cited = claims.join(source, same, "left").select(claims["*"], "found_chunk", supports.alias("ok"))
     hit = cited.where("ok").drop("ok")
     miss = cited.where("not ok").drop("ok", "found_chunk")
-    other = miss.join(text, "case_id").where(T.quote_supported(F.col("quote"), F.col("source"))).groupBy("case_id", "claim_id").agg(F.min_by("found_chunk", "pos").alias("found_chunk"))
+    texts = source.select("case_id", "found_chunk", F.col("source").alias("text"))
+    quotes = miss.where(F.length(T.whitespace_norm(F.col("quote"))) >= 20)
+    some = pairs_to_compare(quotes, texts, "claim_id", F.array("quote"), "found_chunk")
+    some = some.join(quotes.select("case_id", "claim_id", "quote"), ["case_id", "claim_id"])
+    some = some.join(source, ["case_id", "found_chunk"]).where(supports)
+    other = some.groupBy("case_id", "claim_id").agg(F.min_by("found_chunk", F.struct("pos", "found_chunk")).alias("found_chunk"))
     return hit.unionByName(miss.join(other, ["case_id", "claim_id"], "left").select(*hit.columns))

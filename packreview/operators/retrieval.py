@@ -6,13 +6,17 @@ A corpus is a case and role, or the whole collection under one key. Blank querie
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from packreview.functions import text as T
+from packreview.sources.scratch import materialise
 
 DIMS, K1, B, IDF_FLOOR, RRF = 384, 1.5, 0.75, 0.25, 60
 #: Bytes of a query matrix that one pass over the vectors takes; more queries take more passes.
@@ -32,16 +36,31 @@ def hash_embedding(rows: DataFrame, key: str) -> DataFrame:
     return w.where("w <> 0").withColumn("w", F.col("w") / norm)
 
 
+def _fillers(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The first chunks of the corpus by pos that a query has no score for, as many as can still rank among its first k.
+
+    Of the first k + s chunks at least k are without a score where s have one, so each query meets k + s places and never
+    the whole corpus.
+    """
+    asked = _asked(queries).select("corpus", "query_id").distinct()
+    held = asked.join(scores.groupBy("corpus", "query_id").agg(F.count("*").alias("s")), ["corpus", "query_id"], "left")
+    place = F.row_number().over(Window.partitionBy("corpus").orderBy("pos", "chunk_id"))
+    placed = chunks.select("corpus", "chunk_id", "pos", place.alias("place"))
+    wanted = F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("s", F.lit(0)).cast("int")))
+    some = held.select("corpus", "query_id", wanted.alias("place")).join(placed, ["corpus", "place"])
+    known = scores.select("corpus", "query_id", "chunk_id")
+    some = some.join(known, ["corpus", "query_id", "chunk_id"], "left_anti")
+    return some.select("corpus", "query_id", "chunk_id", "pos", F.lit(0.0).alias("score"))
+
+
 def _ranked(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, pad: bool) -> DataFrame:
     """Top k of scores(corpus, query_id, chunk_id, score) by score, then pos; pad fills up with zero scores within the corpus."""
-    where = chunks.select("corpus", "chunk_id", "pos")
+    found = scores.join(chunks.select("corpus", "chunk_id", "pos"), ["corpus", "chunk_id"])
     if pad:
-        all_ = _asked(queries).select("corpus", "query_id").join(where, "corpus")
-        scores = all_.join(scores, ["corpus", "query_id", "chunk_id"], "left").fillna(0.0, ["score"])
-    else:
-        scores = scores.join(where, ["corpus", "chunk_id"])
+        found = found.unionByName(_fillers(scores, chunks, queries, k).select(*found.columns))
     order = Window.partitionBy("corpus", "query_id").orderBy(F.round("score", 9).desc(), "pos", "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("corpus", "query_id", "chunk_id", "rank", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("corpus", "query_id", "chunk_id", "rank", "score")
 
 
 def hash_vector_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False) -> DataFrame:
@@ -52,69 +71,103 @@ def hash_vector_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = F
     return _ranked(scores, chunks, queries, k, pad)
 
 
+def _matrix(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors) of those that have `dims` components, all of them numbers, and some length."""
+    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dims]
+    m = np.array([vectors[i] for i in at], dtype=np.float64).reshape(len(at), dims)
+    norm = np.linalg.norm(m, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    return np.array(at, np.int64)[good], m[good] / norm[good, None]
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """RET2, exact: queries(query_id, vector) against vectors(id, vector): the k largest cosines of each query.
 
     Queries are taken in blocks of QUERY_BLOCK_BYTES, each broadcast; a batch of vectors is one matrix product and keeps
-    its k best for each query, so only those rows are shuffled.
+    its k best for each query, so only those rows are shuffled. Vectors meet queries of their own length; null and zero
+    vectors and those with null or non-finite components are in no result.
     """
     spark = vectors.sparkSession
-    out = None
-    held: list = []
+    kind, of = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+    made = StructType([StructField("query_id", kind), StructField("id", of), StructField("score", DoubleType())])
 
     def search(block: list) -> DataFrame:
-        m = np.array([r.vector for r in block], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shipped = spark.sparkContext.broadcast(([r.query_id for r in block], m))
+        shipped = spark.sparkContext.broadcast(block)  # QUERY_BLOCK_BYTES, or one query
 
         def run(batches):
+            rows = shipped.value
+            lengths = {len(v) for _, v in rows}
+            by_length = {n: _matrix([v for _, v in rows], n) for n in sorted(lengths)}
             for pdf in batches:
-                pdf = pdf[pdf["vector"].notna()]
-                if len(pdf):
-                    ids, q = shipped.value
-                    v = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                found = pdf["vector"].tolist()
+                for n, (at, q) in by_length.items():
+                    here, v = _matrix(found, n)
+                    if not len(here) or not len(at):
+                        continue
                     s = q @ v.T
                     kk = min(k, s.shape[1])
                     edge = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
                     a, b = np.nonzero(s >= edge[:, None])  # ties at the edge stay; the window below decides
-                    yield pd.DataFrame({"query_id": np.array(ids)[a], "id": pdf["id"].to_numpy()[b], "score": s[a, b]})
+                    ids = [rows[i][0] for i in at[a]]
+                    yield pd.DataFrame({"query_id": ids, "id": pdf["id"].to_numpy()[here[b]], "score": s[a, b]})
 
-        return vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+        return vectors.select("id", "vector").where("vector is not null").mapInPandas(run, made)
 
-    width = 0
+    out, held, width = None, [], 0
     for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():
-        held.append(r)
+        held.append((r.query_id, r.vector))
         width += 8 * len(r.vector)
         if width >= QUERY_BLOCK_BYTES:
             out, held, width = (search(held) if out is None else out.unionByName(search(held))), [], 0
     if held or out is None:
-        part = search(held) if held else spark.createDataFrame([], "query_id long, id long, score double")
+        part = search(held) if held else spark.createDataFrame([], made)
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """RET3: postings(corpus, chunk_id, token, tf, dl), terms(corpus, token, df, idf), corpora(corpus, n, avgdl)."""
+@dataclass(frozen=True)
+class Bm25Stats:
+    """RET3: base(corpus, chunk_id, tokens), terms(corpus, token, df, idf), corpora(corpus, n, avgdl)."""
+
+    base: DataFrame
+    terms: DataFrame
+    corpora: DataFrame
+
+    def postings(self, words: DataFrame | None = None) -> DataFrame:
+        """(corpus, chunk_id, dl, token, tf), of the given words(corpus, token) alone: no other token is shuffled."""
+        each = self.base.select("corpus", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+        if words is not None:
+            each = each.join(words, ["corpus", "token"], "left_semi")
+        return each.groupBy("corpus", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+
+
+def bm25_stats(chunks: DataFrame) -> Bm25Stats:
+    """RET3 of every corpus; terms and corpora are written once, so that Spark knows their sizes and no search counts anew."""
     tokens = T.tokenize(F.col("text"))
     tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("empty")))
     base = chunks.select("corpus", "chunk_id", tokens.alias("tokens"))
-    postings = base.select("corpus", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("corpus", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     corpora = base.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = postings.groupBy("corpus", "token").agg(F.count("*").alias("df")).join(corpora.select("corpus", "n"), "corpus")
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.groupBy("corpus").agg(F.avg("raw").alias("mean"))
-    terms = df.join(mean, "corpus").select("corpus", "token", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, terms, corpora
+    corpora = materialise(corpora, "bm25_corpora")
+    distinct = base.select("corpus", F.explode(F.array_distinct("tokens")).alias("token"))
+    df = distinct.groupBy("corpus", "token").agg(F.count("*").alias("df")).join(corpora.select("corpus", "n"), "corpus")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = materialise(df.select("corpus", "token", "df", raw.alias("raw")), "bm25_terms")
+    mean = materialise(df.groupBy("corpus").agg(F.avg("raw").alias("mean")), "bm25_means")
+    idf = F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf")
+    return Bm25Stats(base, df.join(mean, "corpus").select("corpus", "token", "df", idf), corpora)
 
 
-def bm25_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False, stats: tuple | None = None) -> DataFrame:
+def bm25_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False, stats: Bm25Stats | None = None) -> DataFrame:
     """RET4: Okapi scores; repeated query tokens count each time."""
-    postings, terms, corpora = stats or bm25_stats(chunks)
-    q = _asked(queries).select("corpus", "query_id", F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("corpus", "query_id", "token").agg(F.count("*").alias("qtf"))
-    q = q.join(terms, ["corpus", "token"]).join(corpora, "corpus")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    stats = stats or bm25_stats(chunks)
+    q = _asked(queries).select("corpus", "query_id", F.explode(T.tokenize(F.col("text"))).alias("token"))
+    q = q.groupBy("corpus", "query_id", "token").agg(F.count("*").alias("qtf"))
+    # written, so that the query words are broadcast where they are few and joined by key where they are not
+    q = materialise(q.join(stats.terms, ["corpus", "token"]).join(stats.corpora, "corpus"), "bm25_queries")
+    postings = stats.postings(q.select("corpus", "token").distinct())
+    length = 1 - B + B * F.col("dl") / F.col("avgdl")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
     scores = postings.join(q, ["corpus", "token"]).groupBy("corpus", "query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return _ranked(scores, chunks, queries, k, pad)
 

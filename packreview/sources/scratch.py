@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one of our own where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, one machine makes a folder of its own; a cluster needs the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -21,8 +25,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark keeps the beginning of a plan's description alone; the driver holds one for each of many queries."""
+    name, before = "spark.sql.maxPlanStringLength", spark.conf.get("spark.sql.maxPlanStringLength", None)
+    spark.conf.set(name, "20000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    with short_plans(spark):
+        df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
