@@ -164,10 +164,10 @@ def chk6_chunks(s, d):
     return chunking.chunk_texts(docs)
 
 
-def _ext1(policy: str) -> str:
+def _ext1(policy: str, source: str = _TENDER) -> str:
     modal = f"AND {_MODAL}" if policy == "v2" else ""
     return f"""
-WITH x AS (SELECT *, lower(text) AS low FROM ({_TENDER})),
+WITH x AS (SELECT *, lower(text) AS low FROM ({source})),
 k AS (SELECT *, {_hits(policy)} AS hits, {_KIND} AS kind, row_number() OVER (PARTITION BY case_id, substr(low, 1, 220) ORDER BY pos) AS n FROM x
       WHERE length(text) >= 40 AND {_cue(policy)} AND NOT {_PURE} {modal})
 SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, page, text, pos) AS INT) AS ord, kind, text, chunk_id, page,
@@ -208,12 +208,18 @@ def ext4_dedupe(s, d):
     return extract.dedupe_containment(rows)
 
 
-_COST = "SELECT case_id, chunk_id, pos, page, 'Estimated cost of lot ' || CAST(pos AS STRING) || ' is Rs. ' || CAST(pos * 1000 + 10000 AS STRING) || ' as per the tender value.' AS text FROM ({t}) WHERE pos % 7 = 0"
+# Every line speaks of money; one in seven names an estimate, in one of four wordings, alone or between other sentences.
+_COST = """SELECT case_id, chunk_id, pos, page, CASE
+   WHEN pos % 7 = 0 THEN 'Estimated cost of lot ' || CAST(pos AS STRING) || ' is Rs. ' || CAST(pos * 1000 + 10000 AS STRING) || ' as per the notice.'
+   WHEN pos % 7 = 2 AND pos % 2 = 0 THEN 'The fee is Rs. ' || CAST(pos * 9000 + 10000 AS STRING) || ' per lot. The tender value is Rs. ' || CAST(pos * 100 + 10000 AS STRING) || ' for this lot.'
+   WHEN pos % 7 = 4 AND pos % 3 = 0 THEN 'ECPT Rs. ' || CAST(pos + 20000 AS STRING)
+   ELSE 'The fee of lot ' || CAST(pos AS STRING) || ' is Rs. ' || CAST(pos * 8000 + 10000 AS STRING) || ' and is not refunded.' END AS text FROM {t}"""
 
 
-@query(f"SELECT case_id, max(pos * 1000 + 10000) AS cost FROM ({_TENDER}) WHERE pos % 7 = 0 GROUP BY case_id")
+@query(f"""SELECT case_id, max(CASE WHEN pos % 7 = 0 THEN pos * 1000 + 10000 WHEN pos % 7 = 2 AND pos % 2 = 0 THEN pos * 100 + 10000 WHEN pos % 7 = 4 AND pos % 3 = 0 THEN pos + 20000 END) AS cost
+ FROM ({_TENDER}) GROUP BY case_id HAVING cost IS NOT NULL""")
 def ext5_estimated_cost(s, d):
-    return extract.estimated_cost(s.sql(_COST.replace("({t})", "{t}"), t=tender(s, d)))
+    return extract.estimated_cost(s.sql(_COST, t=tender(s, d)))
 
 
 @query()
@@ -239,7 +245,7 @@ idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM ra
 
 @query(_BM25 + " SELECT token, df, round(idf, 6) AS idf FROM idf")
 def ret3_bm25_stats(s, d):
-    _, terms, _ = retrieval.bm25_stats(_corpus(table(s, d, "documents")))
+    terms = retrieval.bm25_stats(_corpus(table(s, d, "documents"))).terms
     return terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -295,10 +301,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC,
 h AS (SELECT n.q, n.n, count(rel.i) FILTER (r.rank <= 5) AS h5, count(rel.i) FILTER (r.rank <= 10) AS h10, min(CASE WHEN rel.i IS NOT NULL AND r.rank <= 10 THEN r.rank END) AS f FROM n JOIN r ON r.q = n.q LEFT JOIN rel ON rel.q = r.q AND rel.i = r.i GROUP BY ALL)
 SELECT 'vector' AS mode, count(*) AS queries, round(avg(h5 / n), 6) AS recall5, round(avg(h10 / n), 6) AS recall10, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr FROM h""")
 def evl2_retrieval_scores(s, d):
-    v = table(s, d, "embeddings").where("embedding is not null")
-    hits = ret2_dense_top10(s, d).select(F.lit("vector").alias("mode"), F.lit(0).alias("case_id"), "query_id", F.col("id").alias("chunk_id"), "rank")
-    rel = v.where("vec_id % 50 = 0").select(F.lit(0).alias("case_id"), F.col("vec_id").alias("query_id"), "label").join(v.select("label", F.col("vec_id").alias("chunk_id")), "label").drop("label")
-    out = evaluate.retrieval_scores(hits, rel)
+    v = table(s, d, "embeddings").where("embedding is not null").select("vec_id", "label")
+    size = v.where("label is not null").groupBy("label").agg(F.count("*").alias("n"))  # relevant: the same label
+    n = v.where("vec_id % 50 = 0").join(size, "label").select(F.lit(0).alias("case_id"), F.col("vec_id").alias("query_id"), "n")
+    hits = ret2_dense_top10(s, d).join(v.select(F.col("vec_id").alias("id"), F.col("label").alias("of")), "id")
+    hits = hits.join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    hits = hits.select(
+        F.lit("vector").alias("mode"), F.lit(0).alias("case_id"), "query_id", F.col("id").alias("chunk_id"), "rank",
+        (F.col("of") == F.col("wanted")).alias("good"),
+    )
+    out = evaluate.scores_of_hits(hits, n)
     return out.select("mode", "queries", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "mrr")])
 
 
