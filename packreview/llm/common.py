@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,21 +46,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
-def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about `limit` characters together; a longer text is a range of its own."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > limit:
+def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about `limit` bytes together; a longer text is a range of its own."""
+    begin = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
             yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
-def map_rows(df: DataFrame, fn: Callable[[list[str | None]], dict[str, list]], schema: str, keep: list[str], text: str = "text") -> DataFrame:
-    """Applies fn to slices of the texts; returns the columns `keep` of df and those of `schema` that fn makes. No shuffle."""
+def map_rows(
+    df: DataFrame, fn: Callable, schema: str, keep: list[str], text: str = "text", arrow: bool = False, limit: int = SLICE_BYTES
+) -> DataFrame:
+    """Applies fn to slices of the texts; returns the columns `keep` of df and those of `schema` that fn makes. No shuffle.
+
+    fn takes a list of str or None, or with `arrow` an array of strings, and returns {column: values}.
+    """
     from pyspark.sql.types import StructType
 
     reach_workers(df.sparkSession)
@@ -67,19 +74,32 @@ def map_rows(df: DataFrame, fn: Callable[[list[str | None]], dict[str, list]], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(full)
+        out_schema = to_arrow_schema(full)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for a, b in slices(texts):
-                out = fn(texts[a:b])
+            texts = batch.column(len(keep)).cast(pa.string())
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+            for a, b in slices(sizes, limit):
+                part = texts.slice(a, b - a)
+                out = fn(part if arrow else part.to_pylist())
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                new = [pa.array(out[f.name], type=arrow.field(f.name).type) for f in made.fields]
-                cols = [c.cast(arrow.field(i).type) for i, c in enumerate(kept)] + new
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+                new = [pa.array(out[f.name], type=out_schema.field(f.name).type) for f in made.fields]
+                cols = [c.cast(out_schema.field(i).type) for i, c in enumerate(kept)] + new
+                yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
 
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, full)
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """fit(rows) of a bounded sample, run in one task; the driver gets the model alone, never the texts."""
+    reach_workers(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of links(a, b): (id, component), component the smallest id reachable.
 

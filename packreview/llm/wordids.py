@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 
 
 class _Index(dict):
@@ -46,8 +46,8 @@ class WordIds:
 
     def _start(self) -> None:
         self.index = _Index()
-        self.flat, self.begin, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        self.asked = np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.begin, self.size, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for word in self.known:
             self.index[word]
         self._add(lambda words: flatten([self.known[w] for w in words]))
@@ -81,12 +81,21 @@ class WordIds:
 
     def of(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts' words, one text after another, and how many each text has."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        number: dict = {}
+        index = np.fromiter(
+            (number.setdefault(w, len(number)) for w in chain.from_iterable(texts)), np.int64, int(n.sum())
+        )
+        return self.of_distinct(list(number), index, n)
+
+    def of_distinct(self, words: list, index: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts whose words are words[index], per_text of them in each text."""
         if len(self.index) > MEMO_WORDS + len(self.known):
             self._renew()
-        words = np.fromiter(map(len, texts), np.int64, len(texts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(words.sum()))
+        own = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         self._add(self.encode)
-        self.asked += np.bincount(at, minlength=len(self.asked))
+        self.asked[own] += np.bincount(index, minlength=len(words))
+        at = own[index]
         size = self.size[at]
-        reach = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words)]
+        reach = np.concatenate([[0], np.cumsum(size)])[np.cumsum(per_text)]
         return gather(self.flat, self.begin[at], size), np.diff(np.concatenate([[0], reach]))
