@@ -10,7 +10,9 @@ saved bytes a block; where the margin to the runner-up is under MARGIN of the sm
 
 Edge cases: null text or text without letters is `und` with score 0; ties take the language first in order; repeated
 rows are predicted alike; without any labelled text everything is `und`; a language whose sample is under LEAST_BYTES has
-no dictionary and is never predicted (a warning names it); lang, source and ids never reach a prediction.
+no dictionary and is never predicted (a warning names it); more than MAX_LANGS languages are an error; of many copies of a
+text one is learned from; an empty table gives an empty result; lang, source and ids never reach a prediction; columns
+called lang_pred, score or rejected are replaced.
 """
 
 from __future__ import annotations
@@ -28,23 +30,31 @@ from packreview.llm.common import is_held_out, map_rows, table
 DOCS_PER_LANG, DICT_BYTES = 120, 96 << 10
 #: Bytes of a sample that a dictionary needs at least.
 LEAST_BYTES = 64
+#: Languages at most, as each one compresses every block once; more are an error.
+MAX_LANGS = 200
 BLOCK, LEVEL, MARGIN = 3000, 3, 0.01
 
 
 def training_texts(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> dict[str, list[str]]:
-    """Whole texts of each language by a hash of the text, about per_lang of them; held-out rows are left out."""
+    """At most per_lang different texts of each language, by a hash of the text; held-out rows are left out.
+
+    Copies count once: a threshold for the hash is set from the number of different texts, and no sort brings the rows
+    of a language together. What comes back is what a dictionary may hold of each text, DICT_BYTES characters at most.
+    """
     seen = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30))
-    bound = F.lit(0)
-    for lang, n in counts.items():  # a threshold in place of a sort: no language's rows meet in one task
-        bound = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_lang / n) * (1 << 30)))).otherwise(bound)
-    rows = seen.where(draw < bound).select("lang", "text", draw.alias("h")).collect()  # about per_lang a language
+    seen = seen.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", F.lit(3)).alias("h"))
+    counts = seen.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values; fold the rare ones into fewer first")
+    # twice the share that is wanted, and at least the whole of a small language: the count is an estimate
+    bound = [(r.lang, int(min(1.0, 2 * per_lang / max(1, r.n)) * (1 << 30))) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(bound, "lang string, bound long")  # MAX_LANGS rows at most
+    drawn = seen.join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
+    rows = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", 1, DICT_BYTES)).alias("text")).collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
-        out.setdefault(r.lang, []).append(r.text)
+    for r in sorted(rows, key=lambda r: (r.lang, r.h % (1 << 30), r.text)):
+        if len(out.setdefault(r.lang, [])) < per_lang:
+            out[r.lang].append(r.text)
     return out
 
 

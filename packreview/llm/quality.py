@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packreview.llm.common import is_held_out, map_rows, table
+from packreview.llm.common import fitted, is_held_out, map_rows, table
 from packreview.llm.textbag import WordScores, word_table
-from packreview.llm.toxicity import rated, training_sample
+from packreview.llm.toxicity import MAX_CLASSES, rated, training_sample
 
 PER_GRADE = 1200  # the documented bound of the training sample, for each grade
 BUCKETS, ORDERS, SELECT = 1 << 17, (3,), 0.5
@@ -92,12 +92,17 @@ def fit(texts: list[str], ratings: list[float], priors: dict[float, float] | Non
     return OrdinalModel(grades, w.astype(np.float32), base + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
+def grade_shares(labels: DataFrame, rating: str) -> dict[float, float]:
+    """The share of each grade over all rated rows outside the held-out quarter."""
+    rows = rated(labels, rating).groupBy("y").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    return {r.y: r.n / sum(r.n for r in rows) for r in rows}
+
+
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", per_grade: int = PER_GRADE) -> OrdinalModel:
-    """Fits on a bounded sample of the ratings; the grades' shares are counted over all rated rows but the held-out quarter."""
-    rows = rated(labels, rating).groupBy("y").agg(F.count("*").alias("n")).collect()
-    total = sum(r.n for r in rows) or 1
+    """Fits on a bounded sample of the ratings in one task, with the grades' shares over all rated rows."""
     sample = training_sample(docs, labels, rating, per_grade)
-    return fit([t for t, _ in sample], [y for _, y in sample], {r[0]: r.n / total for r in rows})
+    shares = grade_shares(labels, rating)
+    return fitted(sample, lambda rows: fit([t for _, t, _ in sorted(rows)], [y for *_, y in sorted(rows)], shares))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, keep_grade: float | None = None) -> DataFrame:

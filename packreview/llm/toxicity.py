@@ -8,7 +8,8 @@ averaged away. Training picks that window anew in each epoch from the label of t
 As the mean and the softmax's logits are linear, a word's part of a window's logit is one number: scoring keeps a
 bounded memo of word -> (sum of subword scores, number of subwords) and never touches the vectors.
 
-Edge cases: null, empty or blank texts have the score of the bias alone, below the threshold; repeated rows are
+Edge cases: null, empty or blank texts have the score of the bias alone, or of zero vectors under a bias of -1.5 where
+that is lower, so they are below the threshold; of several texts of one labelled id the least is learned from; repeated rows are
 scored alike; a table without labels of both classes gives every text the training share of toxic labels (0 if none).
 """
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packreview.llm.common import is_held_out, map_rows, table
+from packreview.llm.common import fitted, is_held_out, map_rows, table
 from packreview.llm.textbag import WordScores, fold_words, word_table
 
 #: Training rows of each class at most: the documented bound of the sample that the classifier is fitted on.
@@ -128,30 +129,31 @@ def rated(labels: DataFrame, label: str) -> DataFrame:
     return rows.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> list[tuple[str, float]]:
-    """At most per_class labelled rows of each class, chosen by a hash of the id, never from the held-out quarter."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
+    """(key, text, y): at most per_class labelled rows of each class, chosen by a hash of the id, never of the held-out
+    quarter. Of several texts of one id the least is taken, and of several labels the greatest."""
     lab = rated(labels, label).groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)))
     classes = [r[0] for r in lab.select("y").distinct().limit(MAX_CLASSES + 1).collect()]
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{label} has more than {MAX_CLASSES} grades; round them to fewer first")
-    some = None
+    some = lab.select("doc_id", "y").where("false")
     for y in sorted(classes):
-        part = lab.where(F.col("y") == y).orderBy("h").limit(per_class).select("doc_id", "y")
-        some = part if some is None else some.unionByName(part)
-    if some is None:
-        return []
+        some = some.unionByName(lab.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y"))
     # the sample is bounded by per_class rows for each class, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").collect()
-    return [(r.text or "", r.y) for r in sorted(rows, key=lambda r: str(r.doc_id))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return rows.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicModel:
-    """Fits on a bounded sample; the share of toxic labels is counted over all labelled rows outside the held-out quarter."""
+    """Fits on a bounded sample in one task; the share of toxic labels is counted over all labelled rows outside the
+    held-out quarter."""
     sample = training_sample(docs, labels, "toxic", per_class)
     seen = labels.where(F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id")))
     share = seen.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    return fit([t for t, _ in sample], [int(y == 1) for _, y in sample], share)
+    learn = lambda rows: fit([t for _, t, _ in sorted(rows)], [int(y == 1) for *_, y in sorted(rows)], share)
+    return fitted(sample, learn)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
