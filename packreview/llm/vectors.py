@@ -13,7 +13,9 @@ and group. Equal vectors are one class with a count, so exact copies are never c
 
 Edge cases: null or empty vectors, zero vectors and vectors with null or non-finite components have no links and are
 their own component; vectors of other lengths than the first are compared among their own length; repeated ids are
-separate vectors for n_links and keep their rows; null ids have a null component and are not kept.
+separate vectors for n_links and keep their rows, and where they lie in different components each row has its own; null
+ids link and are counted like any, have a null component, are not kept and are no component's smallest id; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def _keys(batches):
             v = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
             asks[rows] = keys_of(v).reshape(len(rows), -1) * 4099 + d
         asks = pa.FixedSizeListArray.from_arrays(pa.array(asks.reshape(-1)), TABLES * PROBES).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), col, batch.column(2), asks], names=["rep", "v", "copies", "asks"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, asks], names=["rep", "v", "copies", "low", "asks"])
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,9 +167,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fine = F.col("embedding").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select("vec_id", v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     good = F.when(F.col("fine"), F.xxhash64("v"))
-    classes = rows.where("fine").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.select(F.coalesce("rep", F.lit(-(1 << 62)) + F.pmod(F.xxhash64("v"), F.lit(1 << 61))).alias("rep"), "v", "copies")
-    schema = StructType.fromDDL("rep long, v array<double>, copies long, asks array<long>")
+    classes = rows.where("fine").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # a class's number is its own, as ids may be repeated or null; the table that is written fixes it
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "v", "copies", "low")
+    schema = StructType.fromDDL("rep long, v array<double>, copies long, low long, asks array<long>")
     classes = materialise(classes.mapInArrow(_keys, schema), "vector_classes")
     place = F.posexplode("asks").alias("p", "key")
     cells = classes.select("rep", place).select("key", "rep", (F.col("p") % PROBES == 0).alias("own")).distinct()
@@ -177,7 +180,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     cells = cells.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    work = cells.join(classes, "rep").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    work = cells.join(classes.drop("low"), "rep").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -212,10 +215,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     found = materialise(work.mapInArrow(run, "rep long, n long, low long"), "vector_links")
     comp = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    comp = materialise(comp, "vector_components")
+    # the smallest id of each component that has links; its first class is in no row of comp
+    member = comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct())
+    member = member.join(classes.select(F.col("rep").alias("id"), "low"), "id")
+    smallest = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    of_class = member.join(smallest, "component").select(F.col("id").alias("rep"), "component_id")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    per_class = classes.select("rep", "v", "copies").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    per_class = per_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.withColumn("key", good).join(per_class.withColumn("key", F.xxhash64("v")).withColumnRenamed("v", "w"), "key", "left")
+    per_class = classes.select("rep", "v", "copies", "low").join(links, "rep", "left").join(of_class, "rep", "left")
+    per_class = per_class.select(
+        F.xxhash64("v").alias("key"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component_id", "low").alias("component_id"),
+    )
+    joined = rows.withColumn("key", good).join(per_class, "key", "left")
     joined = joined.where(F.col("w").isNull() | (F.col("w") == F.col("v")))
     component = F.when(F.col("vec_id").isNull(), None).otherwise(F.coalesce("component_id", "vec_id"))
     return joined.select(
