@@ -10,16 +10,18 @@ code points. The costly expressions run only where the rule's pattern occurs.
 
 Edge cases: null text is the empty blob; it, empty and clean texts have no findings; repeated rows and equal texts get
 the same findings; null ids pass through; an empty table gives an empty ledger; other columns are not looked at.
+A text with very many findings costs in proportion to them; masking it, its length for each of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packreview.llm.common import materialise, table
+from packreview.llm.common import fresh_path, materialise, table
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,30 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+#: Steps of a fold whose results are held apart, as an array that grows is copied at each step.
+FOLD = 256
+
+
+def folded(items: Column, begin: Column, none: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Folds items with a state `at` and returns what the steps append: step(at, item) -> (next at, array to append)."""
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, more = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["found"], more).alias("found"))
+
+    def outer(acc: Column, i: Column) -> Column:
+        got = F.aggregate(F.slice(items, i, FOLD), F.struct(acc["at"].alias("at"), none.alias("found")), inner)
+        # a one-element array names the inner fold, so that it is evaluated once
+        return F.transform(
+            F.array(got), lambda g: F.struct(g["at"].alias("at"), F.concat(acc["parts"], F.array(g["found"])).alias("parts"))
+        )[0]
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(
+        starts, F.struct(begin.alias("at"), F.slice(F.array(none), 1, 0).alias("parts")), outer, lambda acc: F.flatten(acc["parts"])
+    )
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start,end>> of the rule's findings in text, in code points."""
     none = F.array().cast(f"array<{SPAN}>")
@@ -59,34 +85,40 @@ def spans_of(text: Column, rule: Rule) -> Column:
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"),
     )
-    long_enough = lambda hit: F.lit(True) if not rule.least else F.length(F.regexp_extract(hit, rule.pattern, rule.group)) >= rule.least
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+    # lengths alone go into the fold, which would otherwise carry the text along
+    cut = F.transform(cut, lambda x: F.struct(
+        F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"),
+        (F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)).alias("ok"),
+    ))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        end = start + x["hit"]
         span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-        found = F.when(x["hit"].isNotNull() & long_enough(x["hit"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(F.coalesce(end, start).alias("at"), found.alias("found"))
+        return F.coalesce(end, start), F.when(x["hit"].isNotNull() & x["ok"], F.array(span)).otherwise(none)
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(cut, begin, step, lambda acc: acc["found"])).otherwise(none)
+    return F.when(text.rlike(rule.pattern), folded(cut, F.lit(0), none, step)).otherwise(none)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows (blob, findings array<struct<rule,version,spans>>) of the blob and rule-version pairs not in `ledger`.
 
-    versions(text, ...): any paths and historical versions. Append the result to the ledger.
+    versions(text, ...): any paths and historical versions. Append the result to the ledger. What the ledger lacks is
+    found by hashes alone; only the texts of blobs that lack some rule version move, one copy of each.
     """
-    blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
+    blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     current = F.array(*[F.lit(f"{r.name}@{r.version}") for r in rules])
     if ledger is None:
-        blobs = blobs.withColumn("todo", current)
+        blobs = blobs.dropDuplicates(["blob"]).withColumn("todo", current)
     else:
         seen = ledger.select("blob", F.explode("findings").alias("f")).groupBy("blob").agg(
             F.collect_set(F.concat_ws("@", "f.rule", "f.version")).alias("seen")  # at most the rules there have been
         )
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))))
-        blobs = blobs.where(F.size("todo") > 0)
+        none = F.array().cast("array<string>")
+        lacks = blobs.select("blob").distinct().join(seen, "blob", "left")
+        lacks = lacks.select("blob", F.array_except(current, F.coalesce("seen", none)).alias("todo")).where(F.size("todo") > 0)
+        # written, so that Spark knows its size: few unseen blobs are broadcast and no other text moves
+        blobs = blobs.join(materialise(lacks, "unseen"), "blob").dropDuplicates(["blob"])
     per_rule = [
         F.when(
             F.array_contains("todo", f"{r.name}@{r.version}"),
@@ -97,6 +129,28 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return blobs.select("blob", F.filter(F.array(*per_rule), lambda f: f.isNotNull()).alias("findings"))
 
 
+LEDGER = "blob string, findings array<struct<rule:string,version:int,spans:array<struct<start:int,end:int>>>>"
+
+
+class Ledger:
+    """The stored ledger: a Parquet table under `path`, in any store that Spark reaches, to which scans append."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame | None:
+        """All rows so far, None before the first scan."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scans what the ledger lacks of versions(text, ...), appends it and returns the whole ledger."""
+        scan_unseen(versions, self.rows(), rules).write.mode("append").parquet(self.path)
+        return self.rows()
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Columns `keep` of every row of versions with findings array<struct<start,ord,end,kind>> in order of start, then rule."""
     current = ledger.select("blob", F.explode("findings").alias("f"))
@@ -116,9 +170,11 @@ def joined(findings: Column) -> Column:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come twice, as in two crawls: the second scan finds every blob in the stored ledger."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = materialise(scan_unseen(docs), "ledger")
-    found = findings_by_path(docs, ledger, ["doc_id"])
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    ledger.scan(docs)
+    found = findings_by_path(docs, ledger.scan(docs), ["doc_id"])
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
@@ -129,13 +185,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """text with each finding, or run of overlapping findings, replaced by `mark`."""
+    none = F.array().cast("array<string>")
 
-    def step(acc: Column, f: Column) -> Column:
-        start, end = F.greatest(f["start"], acc["at"]), F.greatest(f["end"], acc["at"])
-        gap = F.substring(text, acc["at"] + 1, start - acc["at"])
-        fresh = f["start"] >= acc["at"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], gap, F.when(fresh, F.lit(mark)).otherwise(F.lit(""))).alias("out"))
+    def step(at: Column, f: Column) -> tuple[Column, Column]:
+        gap = F.substring(text, at + 1, f["start"] - at)
+        return F.greatest(f["end"], at), F.when(f["start"] >= at, F.array(gap, F.lit(mark))).otherwise(none)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(findings, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(findings) > 0, whole).otherwise(text)
+    last = F.aggregate(findings, F.lit(0), lambda at, f: F.greatest(at, f["end"]))
+    rest = F.substring(text, last + 1, F.length(text))
+    return F.when(F.size(findings) > 0, F.concat(F.array_join(folded(findings, F.lit(0), none, step), ""), rest)).otherwise(text)
