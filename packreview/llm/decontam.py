@@ -9,7 +9,8 @@ a sampled position; their words are marked and joined into removal spans. Nothin
 depends on the shard and on the benchmark block, not on the input.
 
 Benchmarks are a query set: they are read in blocks of at most BLOCK_WORDS words and each block is broadcast. When
-there are more than MAX_BLOCKS blocks, the texts are read once for each group of blocks and the hits are merged by row.
+there are more than MAX_BLOCKS blocks, the texts are read once for each group of blocks, whose hits are written and whose
+blocks are freed before the next group is shipped; the hits are merged by row.
 
 Edge cases: null, empty or wordless texts have no words and no hits; items without words match nothing; an item of
 fewer than `size` words is one window; repeated items with one id count once, items with a null id mark words but
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,17 +47,17 @@ class Windows:
 
 def windows_of(rows: list[tuple[object, list[bytes]]], size: int = WINDOW) -> Windows:
     vocab: dict[bytes, int] = {}
-    found: dict[tuple, list[str]] = {}
+    found: dict[tuple, dict[str, None]] = {}
     for item, words in rows:
         ids = [vocab.setdefault(w, len(vocab) + 1) for w in words]
         for i in range(max(1, len(ids) - size + 1) if ids else 0):
-            names = found.setdefault(tuple(ids[i : i + size]), [])
-            if item is not None and str(item) not in names:
-                names.append(str(item))
+            names = found.setdefault(tuple(ids[i : i + size]), {})
+            if item is not None:
+                names[str(item)] = None
     table_ = np.zeros((len(found), size), np.int32)
     for i, w in enumerate(found):
         table_[i, : len(w)] = w
-    return Windows(vocab, table_, np.fromiter(map(len, found), np.int64, len(found)), list(found.values()))
+    return Windows(vocab, table_, np.fromiter(map(len, found), np.int64, len(found)), list(map(list, found.values())))
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -215,27 +216,31 @@ def decontaminate(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
     """Adds n_words, n_hit, items (sorted item ids) and spans (code points to remove) to docs(text, ...)."""
     made = "n_words int, hit_words array<int>, items array<string>, spans array<struct<begin:int,end:int>>"
     sc = docs.sparkSession.sparkContext
-    groups, blocks = [], []
-    for win in benchmark_blocks(bench, size):
-        blocks.append(sc.broadcast(win))  # at most BLOCK_WORDS words each
-        if len(blocks) == MAX_BLOCKS:
-            groups, blocks = [*groups, blocks], []
-    groups = [*groups, blocks] if blocks or not groups else groups
     keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans", "hit_words")]
 
     def scan(df: DataFrame, part: list, columns: list[str]) -> DataFrame:
         return map_rows(df, lambda texts: search_texts(texts, [b.value for b in part]), made, columns)
 
-    if len(groups) == 1:
-        out = scan(docs, groups[0], keep)
+    blocks = benchmark_blocks(bench, size)
+    group = [sc.broadcast(win) for win in islice(blocks, MAX_BLOCKS)]  # at most BLOCK_WORDS words each
+    more = next(blocks, None)
+    if more is None:
+        out = scan(docs, group, keep)
         return out.select(*keep, "n_words", F.size("hit_words").alias("n_hit"), "items", "spans")
     rows = materialise(docs.select(*keep, F.monotonically_increasing_id().alias("__row")), "rows")
-    parts = [scan(rows, g, ["__row"]) for g in groups]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    hits = None
+    while group:  # a group's hits are written before the next group is read, so one group is shipped at a time
+        part = materialise(scan(rows, group, ["__row"]), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+        for b in group:
+            b.destroy()
+        follow = islice(blocks, MAX_BLOCKS) if more is None else chain([more], islice(blocks, MAX_BLOCKS - 1))
+        group, more = [sc.broadcast(win) for win in follow], None
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  at most a text's own words
-    hits = hits.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.size(flat("hit_words")).alias("n_hit"), flat("items").alias("items"), flat("spans").alias("spans"))
+    hits = hits.groupBy("__row").agg(
+        F.max("n_words").alias("n_words"), F.size(flat("hit_words")).alias("n_hit"), flat("items").alias("items"),
+        flat("spans").alias("spans"),
+    )
     return rows.join(hits, "__row").select(*keep, "n_words", "n_hit", "items", "spans")
 
 
