@@ -212,20 +212,23 @@ def test_word_memo_starts_anew_with_recurring_words(monkeypatch):
     assert asked.count("a") == asked.count("bb") == 1 and asked.count("cccc") == 2
 
 
-def test_token_files_round_trip(spark):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_files_round_trip(spark, special_as_text):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     from packreview.llm import tokenids as K
     from packreview.llm.common import fresh_path
 
-    lib = Tokenizer.from_file(P.path(K.VOCABULARY))
-    lib.encode_special_tokens = True
+    lib = Tokenizer.from_file(P.path(K.VOCABULARY))  # untouched, as the query's contract names it
+    if special_as_text:
+        lib.encode_special_tokens = True
     texts = ["Hello, WORLD!! it's  x. y ÉCOLE µm don't a.b. <|endoftext|>", None, "", "İstanbul ΣΑΣ é ﬁ 12.5; abc;; 日本。語", "a\xa0b\x1cc", "end.", "x" * 500, "a\x1cb C\x1fD"]
+    texts += ["see <|ENDOFTEXT|>, A.B, <|endoftext|>: C.", "x <| y.Z", "<|startoftext|>hello.World"]
     texts += ["é'S a's ''t it's. ÀÉ é,é", "x'', don't..'s a1b2. b2, ß÷µ. ÿª.", "é. , ,\u0301 a,\u0301", "<|endoftext|>. a<|endoftext|>", "a..b ... &&& word&&&, 한국어, ПРИВЕТ!"]
     docs = frame(spark, list(enumerate(texts)))
     path = fresh_path(spark, "ids")
-    encoded = K.encode_ids(docs.select("doc_id", "text"), P.path(K.VOCABULARY)).drop("text")
+    encoded = K.encode_ids(docs.select("doc_id", "text"), P.path(K.VOCABULARY), special_as_text=special_as_text).drop("text")
     K.write_blocks(encoded, K.id_counts(encoded), path, parts=3)
     got = {r.doc_id: r for r in K.read_blocks(spark, path).collect()}
     start = 0

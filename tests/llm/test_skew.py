@@ -35,22 +35,25 @@ def test_every_grade_is_learned(spark, grades, kind):
     rows = [(i, f"word{grades[i % len(grades)]} other{i % 7} text", grades[i % len(grades)]) for i in range(40 * len(grades))]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, y0 double").select("doc_id", Q.F.col("y0").cast(kind).alias("quality"))
-    sample = training_sample(docs, labels, "quality", 9)
-    assert sorted({y for _, y in sample}) == grades and all(f"word{float(y)} " in t for t, y in sample)
+    sample = training_sample(docs, labels, "quality", 9).collect()
+    assert sorted({r.y for r in sample}) == grades and all(f"word{float(r.y)} " in r.text for r in sample)
+    assert all(sum(r.y == g for r in sample) <= 9 for g in grades)
     model = Q.train(docs, labels)
     assert model.grades == grades and len(model.thresholds) == len(grades) - 1 and (np.diff(model.thresholds) > 0).all()
     out = Q.grade(docs, model).agg(Q.F.min("expected_grade"), Q.F.max("expected_grade")).first()
     assert grades[0] <= out[0] < out[1] <= grades[-1]
 
 
-def test_shares_of_fractional_grades(spark, monkeypatch):
+def test_shares_of_fractional_grades(spark):
     from packreview.llm import quality as Q
+    from packreview.llm.toxicity import training_sample
 
-    seen = {}
-    monkeypatch.setattr(Q, "fit", lambda texts, ratings, priors: seen.update(priors=priors, ratings=ratings))
     rows = [(i, 3.5 if i % 4 else 1.5) for i in range(400)]
-    Q.train(spark.createDataFrame([(i, "t") for i, _ in rows], "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, quality double"))
-    assert set(seen["ratings"]) == set(seen["priors"]) == {1.5, 3.5} and sum(seen["priors"].values()) == pytest.approx(1)
+    labels = spark.createDataFrame(rows, "doc_id long, quality double")
+    shares = Q.grade_shares(labels, "quality")
+    assert set(shares) == {1.5, 3.5} and sum(shares.values()) == pytest.approx(1)
+    docs = spark.createDataFrame([(i, "t") for i, _ in rows], "doc_id long, text string")
+    assert {r.y for r in training_sample(docs, labels, "quality").collect()} == set(shares)
 
 
 def test_too_many_grades_are_an_error(spark):
