@@ -271,3 +271,27 @@ def evl10_pack_table(s, d):
     t = Q.tender(s, d)
     runs = Q.table(s, d, "orders").select((F.col("o_custkey") % 25).cast("int").alias("case_id"), (F.col("o_orderkey") % 1000).alias("latency_ms"), F.lit(1).alias("tokens"))
     return evaluate.pack_table(chunking.page_quality(t), Q.company(s, d), extract.requirements(t, "v1"), extract.requirements(t, "v2"), runs)
+
+
+# -- reports -----------------------------------------------------------------------------------------------------------
+
+_RISKS = Q._first_n(f"{Q._contains('low', T.RISK_CUES)} AND NOT {Q._PURE}", "text", extract.MAX_RISKS)
+_REPORT = f"""{N._LETTER}, rk AS ({_RISKS}), dl AS ({Q._first_n(Q._DEAD, "text", extract.MAX_DEADLINES)}),
+go AS ({N._GO}), cn AS ({N._COUNTS}), per AS (SELECT case_id, 'matrix' AS part FROM m UNION ALL SELECT case_id, 'risks' FROM rk UNION ALL SELECT case_id, 'deadlines' FROM dl
+ UNION ALL SELECT case_id, 'letter' FROM lq WHERE n <= 8 UNION ALL SELECT case_id, 'evidence' FROM m WHERE evidence_chunk_id IS NOT NULL),
+t AS (SELECT case_id, count(*) FILTER (part = 'matrix') AS matrix, count(*) FILTER (part = 'risks') AS risks, count(*) FILTER (part = 'deadlines') AS deadlines, count(*) FILTER (part = 'letter') AS letter,
+ count(*) + count(*) FILTER (part = 'matrix') AS claims FROM per GROUP BY case_id)
+SELECT go.case_id, go.go_no_go, cn.summary, coalesce(matrix, 0) AS matrix, coalesce(risks, 0) AS risks, coalesce(deadlines, 0) AS deadlines, coalesce(letter, 0) AS letter, coalesce(claims, 0) AS claims,
+ CASE WHEN claims > 0 THEN 'true' END AS passed FROM go LEFT JOIN cn ON cn.case_id = go.case_id LEFT JOIN t ON t.case_id = go.case_id"""
+
+
+@Q.query(_REPORT)
+def snk2_report_parts(s, d):
+    """What each case's report document holds, read back from its JSON."""
+    part = lambda path: F.get_json_object("report_json", f"$.{path}")
+    size = lambda path: F.coalesce(F.json_array_length(part(path)), F.lit(0)).cast("long")
+    return Q.snk2_reports(s, d).select(
+        "case_id", part("go_no_go").alias("go_no_go"), part("summary").alias("summary"), size("matrix").alias("matrix"), size("risks").alias("risks"),
+        size("deadlines").alias("deadlines"), size("letter_quotes").alias("letter"), F.coalesce(part("verification.claims").cast("long"), F.lit(0)).alias("claims"),
+        part("verification.passed").alias("passed"),
+    )

@@ -427,7 +427,9 @@ def let2_letters(s, d):
 @query()
 def snk2_reports(s, d):
     r = _review(s, d)
-    return packs.reports(r["go_no_go"], r["matrix"].drop("pos"), r["risks"], r["deadlines"], r["letter"], r["go_no_go"])
+    summary = r["go_no_go"].join(r["counts"].select("case_id", "summary"), "case_id", "left")
+    verified = packs.verification(r["claims"], r["failures"])
+    return packs.reports(r["go_no_go"], r["matrix"].drop("pos"), r["risks"], r["deadlines"], r["letter"], summary, verified)
 
 
 @query("SELECT CAST(quality AS VARCHAR) || '->' || CAST(toxic AS VARCHAR) AS pair, count(*) AS n FROM labels GROUP BY 1")

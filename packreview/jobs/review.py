@@ -32,10 +32,11 @@ def review(cases: DataFrame, tender: DataFrame, company: DataFrame, policy: str
     risks, dates = extract.risks(tender), extract.deadlines(tender)
     letter = verify.letter_queries(matrix, dates)
     both = tender.select("case_id", "chunk_id", "text").unionByName(company.select("case_id", "chunk_id", "text"))
-    failures = verify.unsupported(verify.claims(req, matrix, risks, dates, letter), both)
+    claims = verify.claims(req, matrix, risks, dates, letter)
+    failures = verify.unsupported(claims, both)
     clean = verify.strip_unsupported(req, matrix, risks, dates, failures)
     return clean | {
-        "failures": failures, "go_no_go": decide.go_no_go(cases, clean["matrix"]), "counts": decide.decision_counts(clean["matrix"]), "letters": verify.letters(cases, clean["letter"]),
+        "claims": claims, "failures": failures, "go_no_go": decide.go_no_go(cases, clean["matrix"]), "counts": decide.decision_counts(clean["matrix"]), "letters": verify.letters(cases, clean["letter"]),
     }
 
 

@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 
 from packreview.functions import text as T
 
-# For each rule its markers, in the order that rules are tried.
+# What speaks for the bidder and against it where a rule asks for a fact that may be denied; then for each
+# rule its markers, in the order that rules are tried.
+IN_FAVOUR = {
+    "loss": ("not incurred a loss", "has not incurred", "no loss"),
+    "blacklist": ("never been blacklisted", "not been blacklisted", "has not been blacklisted"),
+}
+AGAINST = {
+    "loss": ("incurred a loss", "incurred loss"),
+    "blacklist": ("has been blacklisted", "was blacklisted"),
+}
 MARKERS = {
     "turnover": ("turnover",),
     "solvency": ("solvency",),
     "net worth": ("net worth",),
     "similar": ("work", "completion", "order"),
-    "loss": ("not incurred a loss", "has not incurred", "no loss", "incurred a loss", "incurred loss"),
+    "loss": IN_FAVOUR["loss"] + AGAINST["loss"],
     "psara": ("psara", "private security agencies regulation"),
     "gst": ("gstin", "gst registration", "goods and services tax"),
     "pan": ("permanent account", "pan card", "pan:"),
-    "blacklist": ("never been blacklisted", "not been blacklisted", "has not been blacklisted", "has been blacklisted", "was blacklisted"),
+    "blacklist": IN_FAVOUR["blacklist"] + AGAINST["blacklist"],
     "manpower": ("manpower", "on roll", "security guards", "personnel"),
     "iso": ("iso 9001", "iso9001", "iso certificate"),
     "class-i": ("class-i local", "class-i", "class i local supplier"),
     "emd": ("demand draft", "earnest money deposit", "emd", "bid security"),
 }
-POSITIVE = {"loss": 3, "blacklist": 3}  # how many of the markers speak for the bidder
 LABELS = {
     "psara": "PSARA licence", "gst": "GST registration", "pan": "PAN", "iso": "ISO certificate",
     "class-i": "Class-I local supplier declaration", "loss": "loss history", "blacklist": "blacklisting declaration",
@@ -53,8 +61,8 @@ def _lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))]), key)
 
 
-def markers_of(rule: Column) -> Column:
-    return _lookup({k: F.array(*map(F.lit, v)) for k, v in MARKERS.items()}, rule)
+def markers_of(rule: Column, markers: dict[str, tuple[str, ...]] = MARKERS) -> Column:
+    return _lookup({k: F.array(*map(F.lit, v)) for k, v in markers.items()}, rule)
 
 
 def sentence_with(text: Column, markers: Column) -> Column:
@@ -92,7 +100,13 @@ def matrix(requirements: DataFrame, hits: DataFrame, cost: DataFrame | None = No
     quote = best["quote"]
     low_quote = F.lower(quote)
     # money: percent without a cost is settled before evidence is looked at, then no threshold, then missing, then compare
-    r = r.withColumns({"__near": T.threshold_near(text, rule), "__percent": T.percent_near(text, rule), "__alts": T.alternatives(text), "__asked": T.headcount(text), "__seen": F.coalesce(T.headcount(quote), T.headcount(best["whole"]))})
+    # each pattern runs on the rows of its own rule alone
+    money_rule, crew = rule.isin(*MONEY), rule == "manpower"
+    r = r.withColumns({
+        "__near": F.when(money_rule, T.threshold_near(text, rule)), "__percent": F.when(money_rule, T.percent_near(text, rule)),
+        "__alts": F.when(rule == "similar", T.alternatives(text)), "__asked": F.when(crew, T.headcount(text)),
+        "__seen": F.when(crew, F.coalesce(T.headcount(quote), T.headcount(best["whole"]))),
+    })
     near, percent = F.col("__near"), F.col("__percent")
     by_cost = (F.col("cost") * percent / 100).cast("bigint")
     unpriced = near.isNull() & percent.isNotNull() & (F.coalesce("cost", F.lit(0)) == 0)
@@ -119,10 +133,9 @@ def matrix(requirements: DataFrame, hits: DataFrame, cost: DataFrame | None = No
     )
     label = _lookup(LABELS, rule)
     says = lambda part: F.exists(part, lambda m: F.contains(low_quote, m))
-    all_markers = markers_of(rule)
     negated = (
         F.when(quote.isNull(), F.struct(F.lit("missing").alias("d"), F.concat(F.lit("No uploaded document speaks to "), label, F.lit(".")).alias("r"), F.lit(False).alias("c")))
-        .when(says(F.slice(all_markers, 1, 3)), F.struct(F.lit("met").alias("d"), F.concat(F.lit("The cited document supports the "), label, F.lit(" requirement.")).alias("r"), F.lit(True).alias("c")))
+        .when(says(markers_of(rule, IN_FAVOUR)), F.struct(F.lit("met").alias("d"), F.concat(F.lit("The cited document supports the "), label, F.lit(" requirement.")).alias("r"), F.lit(True).alias("c")))
         .otherwise(F.struct(F.lit("not_met").alias("d"), F.concat(F.lit("The cited document contradicts the "), label, F.lit(" requirement.")).alias("r"), F.lit(True).alias("c")))
     )
     asked, seen = F.col("__asked"), F.col("__seen")

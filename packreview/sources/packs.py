@@ -125,8 +125,24 @@ def save(tables: dict[str, DataFrame], path: str, partition: dict[str, list[str]
         (w.partitionBy(*by) if by else w).parquet(f"{path}/{name}")
 
 
-def reports(cases: DataFrame, matrix: DataFrame, risks: DataFrame, deadlines: DataFrame, letter: DataFrame, summary: DataFrame) -> DataFrame:
-    """SNK2: (case_id, report_json): one document a case."""
+def verification(claims: DataFrame, failures: DataFrame) -> DataFrame:
+    """(case_id, verification): for each case how many claims there were, how many were unsupported, and these by stage."""
+    n = claims.where("quote <> ''").groupBy("case_id").agg(F.count("*").alias("claims"))
+    bad = F.array_sort(F.collect_list(F.struct("stage", "chunk_id", "quote")))
+    bad = failures.groupBy("case_id").agg(F.count("*").alias("unsupported"), bad.alias("failures"))
+    rows = n.join(bad, "case_id", "left")
+    passed = F.coalesce(F.col("unsupported"), F.lit(0)) == 0
+    return rows.select(
+        "case_id", F.struct(passed.alias("passed"), "claims", F.coalesce("unsupported", F.lit(0)).alias("unsupported"), "failures").alias("verification")
+    )
+
+
+def reports(
+    cases: DataFrame, matrix: DataFrame, risks: DataFrame, deadlines: DataFrame, letter: DataFrame, summary: DataFrame,
+    verified: DataFrame | None = None,
+) -> DataFrame:
+    """SNK2: (case_id, report_json): one document a case. summary: columns by case; verified: verification()."""
+
     def listed(df: DataFrame, name: str, order: str = "ord") -> DataFrame:
         rest = [c for c in df.columns if c not in ("case_id", order)]
         return df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
@@ -134,5 +150,6 @@ def reports(cases: DataFrame, matrix: DataFrame, risks: DataFrame, deadlines: Da
     out = cases.select("case_id")
     for df, name, order in ((matrix, "matrix", "ord"), (risks, "risks", "ord"), (deadlines, "deadlines", "ord"), (letter, "letter_quotes", "n")):
         out = out.join(listed(df, name, order), "case_id", "left")
-    out = out.join(summary, "case_id", "left")
+    for df in (summary, verified):
+        out = out if df is None else out.join(df, "case_id", "left")
     return out.select("case_id", F.to_json(F.struct(*[c for c in out.columns if c != "case_id"])).alias("report_json"))
