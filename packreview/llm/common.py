@@ -97,7 +97,8 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
         rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit([])  # Spark runs no task for a sample that it knows to be empty
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:

@@ -34,7 +34,8 @@ def gram_buckets(words: list[bytes], orders: tuple[int, ...], buckets: int) -> l
     with np.errstate(over="ignore"):
         for n in range(1, last + 1):
             h = h * _P
-            h[: len(buf) - n + 1] += buf[n - 1 :]
+            m = max(0, len(buf) - n + 1)  # a few letters in all may be fewer than n
+            h[:m] += buf[len(buf) - m :]
             if n in orders:
                 at = np.flatnonzero(left >= n)
                 out.append((word[at], (_mix(h[at] + np.uint64(n)) % np.uint64(buckets)).astype(np.int64)))
