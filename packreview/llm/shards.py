@@ -23,7 +23,8 @@ from pyspark.sql.window import Window
 
 from packreview.llm.common import fresh_path, reach_workers, table
 
-SHARDS, SEED, BUCKET_BYTES = 8, 17, 16 << 20
+#: Bytes of a bucket, which one task shuffles in memory at a time, and how many buckets a task of the shuffle takes.
+SHARDS, SEED, BUCKET_BYTES, PER_TASK = 8, 17, 48 << 20, 4
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -61,9 +62,11 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
         place = pa.array(np.arange(group.num_rows), pa.int64())
         return group.take(pa.array(order)).append_column("place", place)
 
-    out = rows.repartition(n, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(permute, rows.withColumn("place", F.lit(0).cast("long")).schema)
+    tasks = max(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // PER_TASK))
+    grouped = rows.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket")
+    out = grouped.applyInArrow(permute, rows.withColumn("place", F.lit(0).cast("long")).schema)
     out.write.partitionBy("shard").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def with_slots(rows: DataFrame, written: DataFrame) -> DataFrame:
