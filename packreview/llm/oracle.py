@@ -1,4 +1,5 @@
-"""SQL for DuckDB of the queries that it can express on whole tables: secrets, vectors, near-duplicates, decontamination."""
+"""SQL for DuckDB of the queries that it can express on whole tables: secrets, vectors, near-duplicates, decontamination,
+divergence of sources, spelling variants."""
 
 from __future__ import annotations
 
@@ -58,4 +59,43 @@ t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
  FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
-ORACLE = {"op3_secrets": OP3, "op4_vectors": OP4, "op9_minhash": OP9, "op10_decontamination": OP10}
+_OP12_P = "1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v)"
+_OP12_F = "((g.p - h.p) * (g.p - h.p)) // h.p"
+OP12 = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_FOLD} AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total,
+  (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM (SELECT DISTINCT lang, source FROM d) g),
+p AS (SELECT grp.lang, grp.source, k.term, coalesce(n, 0) AS n, {_OP12_P} AS p FROM grp JOIN kept k USING (lang) LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source AND c.term = k.term),
+q AS (SELECT lang, term, {_OP12_P} AS p FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM grp GROUP BY lang) USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT g.lang, g.source AS s, h.source AS o, sum({_OP12_F}) AS f FROM p g JOIN p h ON h.lang = g.lang AND h.term = g.term AND h.source <> g.source GROUP BY ALL) x ON x.lang = a.lang AND x.s = a.source AND x.o = b.source),
+terms AS (SELECT g.lang, g.source, g.term AS item, {_OP12_F} AS value FROM p g JOIN q h ON h.lang = g.lang AND h.term = g.term WHERE g.n > 0 AND g.p > h.p)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+ FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
+#: CRC-32 by the reflected polynomial EDB88320, over the UTF-8 bytes of characters under U+0100.
+_CRC_BYTES = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(key, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+OP13 = f"""WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS (SELECT key, run, count(*) AS c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key, run FROM (
+  SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, c, {_CRC_BYTES} AS h FROM o, crc_table),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM place),
+less AS (SELECT DISTINCT word, n, head || tail AS other FROM cut),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON b.i = a.i AND b.head = a.head AND b.tail = a.tail AND b.word <> a.word
+ UNION ALL SELECT less.word, less.n, w.word, w.n FROM less JOIN w ON w.word = less.other
+ UNION ALL SELECT w.word, w.n, less.word, less.n FROM less JOIN w ON w.word = less.other),
+best AS (SELECT word, n, count(*) AS k, arg_max(other, (m, -place)) AS other, max(m) AS m FROM (SELECT *, row_number() OVER (ORDER BY other) AS place FROM near) GROUP BY word, n),
+form AS (SELECT word, k, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM best),
+chain(word, reached, step) AS (SELECT word, form, 1 FROM form WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN form f ON f.word = c.reached WHERE f.form IS NOT NULL)
+SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(k, 0) AS n_near, form_n FROM w LEFT JOIN form ON form.word = w.word
+ LEFT JOIN (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word) r ON r.word = w.word"""
+
+ORACLE = {"op3_secrets": OP3, "op4_vectors": OP4, "op9_minhash": OP9, "op10_decontamination": OP10, "op12_divergence": OP12, "op13_spelling": OP13}
