@@ -102,8 +102,8 @@ def dealt(words: DataFrame, group: int = GROUP) -> DataFrame:
     whole = lambda df: df.select(*keys, F.lit(0).alias("i"), F.lit(0).alias("j"), "word", "n", F.lit(True).alias("asks"), F.lit(True).alias("answers"))
     if hot.isEmpty():
         return whole(rows)
-    own = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
-    cut = rows.join(hot, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = (F.pmod(F.xxhash64("word"), F.col("blocks")) + 1).cast("int")  # 0 is for halves that are not cut
+    cut = rows.join(hot, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
     asks = cut.select(*keys, F.col("own").alias("i"), F.col("other").alias("j"), "word", "n", F.lit(True).alias("asks"), (F.col("own") == F.col("other")).alias("answers"))
     answers = cut.where("own <> other").select(*keys, F.col("other").alias("i"), F.col("own").alias("j"), "word", "n", F.lit(False).alias("asks"), F.lit(True).alias("answers"))
     return whole(rows.join(hot, keys, "left_anti")).unionByName(asks).unionByName(answers)
