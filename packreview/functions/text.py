@@ -305,20 +305,25 @@ SPACE_TRAITS = (1, 0, 0, 0, 0, 0, 0, 0)
 GOES_ON_TRAITS = (1, 1, 0, 0, 1, 1, 1, 1)
 
 
+HEADING_MAX = 90
+
+
 def line_traits(line: Column) -> Column:
-    """array<int>: the measures of a stripped line."""
+    """array<int>: the measures of a stripped line; but for the length they are 0 where it is too long for a heading, as it
+    then is in whatever it is joined to."""
     count = lambda but: F.length(F.regexp_replace(line, but, ""))
     flag = lambda p: line.rlike(p).cast("int")
     words = F.size(F.split(whitespace_norm(line), " "))
-    return F.array(
+    measured = F.array(
         F.length(line), flag(MONEY_WORD), flag(PART_WORD), flag("^[(:/]"), flag(r"\p{Nd}"), count(r"[^\p{L}]"), count(r"[^\p{Lu}]"), words,
     )
+    return F.when(F.length(line) <= HEADING_MAX, measured).otherwise(F.array(F.length(line), *[F.lit(0)] * (len(SPACE_TRAITS) - 1)))
 
 
 def measures_as_heading(n, money, part, bracket, digits, letters, capitals, words):
     """CHK3 on measures, which may be Columns, arrays or numbers."""
     shouted = (bracket == 0) & (digits == 0) & (letters > 0) & (4 * capitals > 3 * letters) & (words <= 12)
-    return (n >= 4) & (n <= 90) & (money == 0) & ((part > 0) | shouted)
+    return (n >= 4) & (n <= HEADING_MAX) & (money == 0) & ((part > 0) | shouted)
 
 
 def is_heading(line: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packreview.functions import text as T
+from packreview.jobs import chunk_sql
 from packreview.jobs import review as R
 from packreview.operators import chunking, decide, evaluate, extract, retrieval, verify
 from packreview.sources import packs
@@ -158,10 +159,24 @@ def chk2_page_quality(s, d):
     return p.select("doc_id", F.size(chunking.blocks(F.col("text"))).cast("long").alias("n_blocks"), F.col("n_alnum").cast("long"), "needs_ocr")
 
 
-@query()
+@query(chunk_sql.chunks("SELECT doc_id, source, text FROM documents"))
 def chk6_chunks(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("ordinal"), F.lit(0).alias("case_id"), F.lit("tender").alias("role"), F.col("source").alias("filename"), "text")
-    return chunking.chunk_texts(docs)
+    return chunking.chunk_texts(_as_pages(table(s, d, "documents")))
+
+
+# Shorter lines, half of them in capitals, so that headings, sections and carried lines are many.
+_SHORT_LINES = "SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE {0} END AS text FROM {documents}"
+_CUT = "replace(replace(text, ', ', {n}), '. ', '. ' || {n} || CAST(doc_id % 9 AS {s}) || '.2) ')"
+
+
+@query(chunk_sql.chunks(_SHORT_LINES.format(_CUT.format(n="chr(10)", s="VARCHAR"), documents="documents")))
+def chk5_short_lines(s, d):
+    text = s.sql(_SHORT_LINES.format(_CUT.format(n="char(10)", s="STRING"), documents="{documents}"), documents=table(s, d, "documents"))
+    return chunking.chunk_texts(_as_pages(text))
+
+
+def _as_pages(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("ordinal"), F.lit(0).alias("case_id"), F.lit("tender").alias("role"), F.col("source").alias("filename"), "text")
 
 
 def _ext1(policy: str, source: str = _TENDER) -> str:

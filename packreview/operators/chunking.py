@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from packreview.functions import text as T
 from packreview.operators.extract import PLAN_QUERIES
+from packreview.sources.scratch import reach_workers
 
 OCR_MIN = 40
 #: Characters: a chunk takes no further line beyond TARGET, ends at HARD_MAX, and hands a last line under CARRY on.
@@ -136,6 +137,7 @@ def chunk_texts(docs: DataFrame, keep: tuple[str, ...] = ("case_id", "role", "fi
 
 
 def _chunked(one: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    reach_workers(one.sparkSession)
     runs = F.pandas_udf(_runs, "array<struct<first:int,lines:int>>")
     ranges = F.pandas_udf(_ranges, "array<struct<first:int,runs:int,heading:int,number:int>>")
     rows = one.select("document_id", "ordinal", *keep, lines_of(F.col("pages")).alias("lines"))
@@ -145,25 +147,29 @@ def _chunked(one: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         F.flatten(of(T.line_traits)),
     ))
     part = lambda r: F.slice("lines", r["first"] + 1, r["lines"])
-    run = lambda r: F.struct(part(r)[0]["page"].alias("page"), F.array_join(part(r)["text"], " ").alias("text"))
+    run = lambda r: T.let(part(r), lambda x: F.struct(x[0]["page"].alias("page"), F.array_join(x["text"], " ").alias("text")))
     rows = rows.withColumn("lines", F.transform("runs", run))
     flat = T.whitespace_norm
-    rows = rows.withColumn("titles", of(lambda t: T.is_heading(flat(t))))
-    rows = rows.withColumn("numbers", of(lambda t: T.clause_number(flat(t))))
-    rows = rows.withColumn("cuts", ranges(
-        F.col("lines.page"), of(F.length), "titles", F.transform("numbers", lambda x: x.isNotNull())
-    ))
+    rows = rows.withColumn("heads", of(lambda t: T.let(flat(t), lambda x: F.struct(T.is_heading(x).alias("title"), T.clause_number(x).alias("number")))))
+    rows = rows.withColumn("cuts", ranges(F.col("lines.page"), of(F.length), F.col("heads.title"), F.transform("heads", lambda x: x["number"].isNotNull())))
+
+    def chunk(c: Column) -> Column:
+        """A chunk is cut out while the document is one row, so that no copy of its lines goes along with each chunk."""
+        own = F.slice("lines", c["first"] + 1, c["runs"])
+        section = F.when(c["heading"] >= 0, F.substring(flat(F.get("lines", c["heading"])["text"]), 1, SECTION))
+        number = F.when(c["number"] >= 0, F.get("heads", c["number"])["number"])
+        return T.let(own, lambda x: F.struct(
+            x[0]["page"].alias("page"), T.strip(F.array_join(x["text"], "\n")).alias("text"), section.alias("section"), number.alias("number"),
+        ))
+
+    rows = rows.select("document_id", "ordinal", *keep, F.transform("cuts", chunk).alias("chunks"))
     # outer, as a filter on the number of chunks would be put where no Python function can run
-    rows = rows.select("*", F.posexplode_outer("cuts").alias("i", "cut")).where("i is not null")
-    part = F.slice("lines", F.col("cut.first") + 1, F.col("cut.runs"))
-    text = T.strip(F.array_join(part["text"], "\n"))
-    section = F.when(F.col("cut.heading") >= 0, F.substring(flat(F.get("lines", F.col("cut.heading"))["text"]), 1, SECTION))
-    page, n = part[0]["page"], F.col("i") + 1
+    rows = rows.select("document_id", "ordinal", *keep, F.posexplode_outer("chunks").alias("i", "c")).where("i is not null")
+    page, n, text = F.col("c.page"), F.col("i") + 1, F.col("c.text")
     return rows.select(
         *keep, "document_id", F.concat_ws("-", F.col("document_id").cast("string"), n.cast("string")).alias("chunk_id"),
-        n.alias("n"), page.alias("page_start"), page.alias("page_end"),
-        F.coalesce(T.clause_number(text), F.when(F.col("cut.number") >= 0, F.get("numbers", F.col("cut.number")))).alias("clause"),
-        section.alias("section"), text.alias("text"), page.alias("page"),
+        n.alias("n"), page.alias("page_start"), page.alias("page_end"), F.coalesce(T.clause_number(text), "c.number").alias("clause"),
+        F.col("c.section").alias("section"), text.alias("text"), page.alias("page"),
         (F.shiftleft(F.col("ordinal").cast("long"), 31) + n).alias("pos"),  # 2^31 chunks a document, 2^32 documents a corpus
     )
 
