@@ -36,6 +36,8 @@ LEAST_DOCS, TOP_TERMS = 3, 200
 #: Kept terms of a chunk, (term, source) counts of a chunk, terms made dense at a time, and sources of a block.
 CHUNK, CELLS, SLICE, BLOCK = 1 << 15, 500_000, 1 << 11, 256
 SCALE = 1_000_000_000
+#: Binary digits of a value, from none to 63.
+DIGITS = 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else (b if b >= 128 or 97 <= b <= 122 else 32) for b in range(256))
 
 
@@ -226,10 +228,13 @@ def pair_sums(vectors: DataFrame, blocks: DataFrame) -> DataFrame:
     return made.groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
 
 
-def top_terms(vectors: DataFrame, top: int = TOP_TERMS) -> DataFrame:
-    """(lang, chunk, source, id, value) of the terms of each source's vector in a chunk that may be among its `top`."""
+def best_of_chunks(vectors: DataFrame, top: int = TOP_TERMS) -> DataFrame:
+    """(lang, chunk, source, best, sizes): the `top` best terms of each source's vector in a chunk as array<struct<id,value>>,
+    and how many of their values have 0, 1, ... 63 binary digits."""
     reach_workers(vectors.sparkSession)
-    schema = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("source", pa.string()), ("id", pa.int32()), ("value", pa.int64())])
+    item = pa.struct([("id", pa.int32()), ("value", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("source", pa.string()), ("best", pa.list_(item)), ("sizes", pa.list_(pa.int64()))])
+    powers = 1 << np.arange(63, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,17 +243,35 @@ def top_terms(vectors: DataFrame, top: int = TOP_TERMS) -> DataFrame:
                 p, q = parts_of(counts, np.array(r["n"] + r["v"])), parts_of(shared, np.array(r["lang_n"] + r["v"]))
                 up = np.flatnonzero(p > q)
                 value = spread(p[up], q[up])
-                best = np.lexsort((ids[up], -value))[:top]
-                k = len(best)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[c]] * k, pa.string()) for c in ("lang", "chunk", "source")] + [pa.array(ids[up][best], pa.int32()), pa.array(value[best], pa.int64())], schema=schema
-                )
+                order = np.lexsort((ids[up], -value))[:top]
+                found = pa.StructArray.from_arrays([pa.array(ids[up][order], pa.int32()), pa.array(value[order], pa.int64())], fields=list(item))
+                best = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found)
+                sizes = pa.array([np.bincount(np.searchsorted(powers, value[order], "right"), minlength=DIGITS)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c]], pa.string()) for c in ("lang", "chunk", "source")] + [best, sizes], schema=schema)
 
     return vectors.select("lang", "chunk", "source", "ids", "counts", "shared", "n", "v", "lang_n").mapInArrow(
-        run, "lang string, chunk string, source string, id int, value long"
+        run, "lang string, chunk string, source string, best array<struct<id:int,value:long>>, sizes array<long>"
     )
 
 
+def top_terms(vectors: DataFrame, top: int = TOP_TERMS) -> DataFrame:
+    """(lang, chunk, source, id, value, rank) of the `top` best terms of each source.
+
+    The values' numbers of binary digits, added up over the chunks, show a power of two that at least `top` values of the
+    source reach; terms under it never leave their chunks.
+    """
+    best = materialise(best_of_chunks(vectors, top), "best-of-chunks")
+    sizes = F.array(*[F.sum(F.get("sizes", F.lit(i))) for i in range(DIGITS)])
+    sizes = best.groupBy("lang", "source").agg(sizes.alias("sizes"))
+    reached = lambda b: F.aggregate(F.slice("sizes", b + 1, DIGITS), F.lit(0).cast("long"), lambda x, y: x + y) >= top
+    digits = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(DIGITS - 1)), reached)), F.lit(0))
+    bound = sizes.withColumn("digits", digits).select("lang", "source", F.expr("if(digits > 0, shiftleft(1L, digits - 1), 0L)").alias("bound"))
+    fit = F.filter("best", lambda x: x["value"] >= F.col("bound"))
+    rows = best.join(bound, ["lang", "source"]).select("lang", "source", "chunk", F.explode(fit).alias("x")).select("lang", "source", "chunk", "x.*")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "chunk", "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def divergence(docs: DataFrame, top: int = TOP_TERMS, chunk: int = CHUNK) -> DataFrame:
     """(lang, source, part, item, value, rank) over docs(text, lang, source)."""
     counts = materialise(group_counts(docs), "group-terms")
@@ -275,10 +298,8 @@ def divergence(docs: DataFrame, top: int = TOP_TERMS, chunk: int = CHUNK) -> Dat
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     pairs = ranked.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
 
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "chunk", "id")
-    best = top_terms(vectors, top).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     names = coded.where("source is null").select("lang", "chunk", F.posexplode("terms").alias("id", "item"))
-    terms = best.join(names, ["lang", "chunk", "id"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    terms = top_terms(vectors, top).join(names, ["lang", "chunk", "id"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)
 
 
