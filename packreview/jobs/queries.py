@@ -10,7 +10,7 @@ from packreview.functions import text as T
 from packreview.jobs import chunk_sql
 from packreview.jobs import review as R
 from packreview.operators import chunking, decide, evaluate, extract, retrieval, verify
-from packreview.sources import packs
+from packreview.sources import packs, scratch
 from packreview.sources.scratch import materialise
 
 # Procurement text derived from the customer and supplier tables; the same statements run in Spark and in DuckDB.
@@ -55,7 +55,7 @@ def query(sql: str | None = None):
 
 
 def table(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
+    return scratch.dealt_out(s.read.parquet(f"{d}/{name}.parquet"))
 
 
 def tender(s: SparkSession, d: str) -> DataFrame:

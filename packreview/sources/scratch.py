@@ -29,6 +29,16 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
+#: Bytes of a table that may be one row group, which one task reads whatever the number of cores.
+ONE_GROUP = 32 << 20
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A table of at most ONE_GROUP bytes dealt out to all cores; a larger one as it is, as it has row groups enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= ONE_GROUP else df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
