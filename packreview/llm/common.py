@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packreview.sources import scratch
 from packreview.sources.scratch import fresh_path, materialise, shared_dir  # noqa: F401
 
 #: Text bytes that a vectorised helper takes at a time; bounds the memory of a Python worker.
@@ -19,16 +19,14 @@ SLICE_BYTES = 2 << 20
 
 
 def reach_workers(spark: SparkSession) -> None:
-    """Lets Python workers started from now on import this package where they see this folder; elsewhere use --py-files."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # texts may be long; leave other settings
+    """As in sources.scratch; and texts may be long, so a batch has 512 of them where the session has Spark's default."""
+    scratch.reach_workers(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scratch.dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:

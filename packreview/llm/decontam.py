@@ -13,8 +13,8 @@ there are more than MAX_BLOCKS blocks, the texts are read once for each group of
 blocks are freed before the next group is shipped; the hits are merged by row.
 
 Edge cases: null, empty or wordless texts have no words and no hits; items without words match nothing; an item of
-fewer than `size` words is one window; repeated items with one id count once, items with a null id mark words but
-are not listed; repeated documents are all returned; extra columns pass through.
+fewer than `size` words is one window, one of more than BLOCK_WORDS goes in parts; repeated items with one id count once, items with a null id mark words but
+are not listed; repeated documents and very long ones are returned whole; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -165,17 +165,27 @@ def find(lists: list[list[bytes]], win: Windows) -> tuple[np.ndarray, list[tuple
     return np.cumsum(hit[:-1]) > 0, [(int(p // len(count)), int(p % len(count))) for p in pairs]
 
 
-def char_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Code points [begin, end) of each stretch of hit words."""
-    out: list[tuple[int, int]] = []
-    last = -2
+def char_spans(text: str, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(begin, end, first, last) of each stretch of hit words: code points, end exclusive, and words, last inclusive."""
+    out: list[tuple[int, int, int, int]] = []
     for i, m in enumerate(_WORD.finditer(text.translate(_LOWER))):
         if hit[i]:
-            if last == i - 1:
-                out[-1] = (out[-1][0], m.end())
+            if out and out[-1][3] == i - 1:
+                out[-1] = (out[-1][0], m.end(), out[-1][2], i)
             else:
-                out.append(m.span())
-            last = i
+                out.append((*m.span(), i, i))
+    return out
+
+
+def merged_spans(spans: list[dict]) -> list[dict]:
+    """Stretches found with different blocks, as one search for all of them would give them: those that share or adjoin words are one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["last"] + 1:
+            if s["last"] > out[-1]["last"]:
+                out[-1] |= {"end": s["end"], "last": s["last"]}
+        else:
+            out.append(dict(s))
     return out
 
 
@@ -194,39 +204,45 @@ def search_texts(texts: list[str | None], blocks: list[Windows]) -> dict[str, li
         "n_words": n,
         "hit_words": [np.flatnonzero(h) for h in each],
         "items": [sorted(x) for x in items],
-        "spans": [[{"begin": a, "end": b} for a, b in char_spans(t, h)] if h.any() else [] for t, h in zip(texts, each, strict=True)],
+        "spans": [[dict(zip(("begin", "end", "first", "last"), x, strict=True)) for x in char_spans(t, h)] if h.any() else [] for t, h in zip(texts, each, strict=True)],
     }
 
 
 def benchmark_blocks(bench: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS):
-    """Windows of the benchmark, block by block in the order of item ids; one block is on the driver at a time."""
+    """Windows of the benchmark, block by block in the order of item ids; one block is on the driver at a time.
+
+    An item beyond block_words is cut into parts of that many windows, which go into blocks of their own.
+    """
     rows, held = [], 0
     for r in bench.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         words = fold_words(r.text)
-        rows.append((r.item_id, words))
-        held += len(words)
-        if held >= block_words:
-            yield windows_of(rows, size)
-            rows, held = [], 0
+        for a in range(0, max(1, len(words) - size + 1), block_words):
+            part = words[a : a + block_words + size - 1]
+            rows.append((r.item_id, part))
+            held += len(part)
+            if held >= block_words:
+                yield windows_of(rows, size)
+                rows, held = [], 0
     if rows:
         yield windows_of(rows, size)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
     """Adds n_words, n_hit, items (sorted item ids) and spans (code points to remove) to docs(text, ...)."""
-    made = "n_words int, hit_words array<int>, items array<string>, spans array<struct<begin:int,end:int>>"
+    made = "n_words int, hit_words array<int>, items array<string>, spans array<struct<begin:int,end:int,first:int,last:int>>"
     sc = docs.sparkSession.sparkContext
     keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans", "hit_words")]
 
     def scan(df: DataFrame, part: list, columns: list[str]) -> DataFrame:
         return map_rows(df, lambda texts: search_texts(texts, [b.value for b in part]), made, columns)
 
+    span = lambda c: F.transform(c, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end")))
     blocks = benchmark_blocks(bench, size)
     group = [sc.broadcast(win) for win in islice(blocks, MAX_BLOCKS)]  # at most BLOCK_WORDS words each
     more = next(blocks, None)
     if more is None:
         out = scan(docs, group, keep)
-        return out.select(*keep, "n_words", F.size("hit_words").alias("n_hit"), "items", "spans")
+        return out.select(*keep, "n_words", F.size("hit_words").alias("n_hit"), "items", span("spans").alias("spans"))
     rows = materialise(docs.select(*keep, F.monotonically_increasing_id().alias("__row")), "rows")
     hits = None
     while group:  # a group's hits are written before the next group is read, so one group is shipped at a time
@@ -238,10 +254,19 @@ def decontaminate(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
         group, more = [sc.broadcast(win) for win in follow], None
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  at most a text's own words
     hits = hits.groupBy("__row").agg(
-        F.max("n_words").alias("n_words"), F.size(flat("hit_words")).alias("n_hit"), flat("items").alias("items"),
-        flat("spans").alias("spans"),
+        F.max("n_words").alias("n_words"), F.size(flat("hit_words")).alias("n_hit"), flat("items").alias("items"), F.flatten(F.collect_list("spans")).alias("__spans"),
     )
-    return rows.join(hits, "__row").select(*keep, "n_words", "n_hit", "items", "spans")
+
+    def merge(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("begin", "end", "first", "last")]))
+        for b in batches:
+            at = b.schema.get_field_index("__spans")
+            yield b.set_column(at, "__spans", pa.array([merged_spans(x) for x in b.column(at).to_pylist()], kind))
+
+    hits = hits.mapInArrow(merge, hits.schema)
+    return rows.join(hits, "__row").select(*keep, "n_words", "n_hit", "items", span("__spans").alias("spans"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

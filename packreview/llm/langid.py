@@ -1,56 +1,51 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
-Each language's dictionary is raw content for zstandard: whole sample texts of that language, DICT_BYTES of them or as
-many as there are. A sample shorter than the longest is repeated to its length, which adds nothing to find but lets
-zstandard treat all dictionaries alike; a rare language so leaves the dictionaries of the others whole.
+Each language's dictionary is raw content for zstandard: an even share of each sample text of that language, DICT_BYTES in
+all or as many as there are. A sample shorter than the longest is repeated to its length, which adds nothing to find but
+lets zstandard treat all dictionaries alike; a rare language so leaves the dictionaries of the others whole. Many
+languages share ALL_BYTES, so that a dirty column costs time for each of its values but neither memory nor the job.
 A text is cut into blocks of BLOCK characters, every block is compressed once with every dictionary, and the sizes
 are added up, so the end of a long text counts like its start. The smallest sum wins. The score is the softmax of the
 saved bytes a block; where the margin to the runner-up is under MARGIN of the smallest sum the prediction is `rejected`
 (the best guess still stands in lang_pred).
 
 Edge cases: null text or text without letters is `und` with score 0; ties take the language first in order; repeated
-rows are predicted alike; without any labelled text everything is `und`; a language whose sample is under LEAST_BYTES has
-no dictionary and is never predicted (a warning names it); more than MAX_LANGS languages are an error; of many copies of a
-text one is learned from; an empty table gives an empty result; lang, source and ids never reach a prediction; columns
+rows are predicted alike; without any labelled text everything is `und`; a language of a few bytes has a dictionary of
+them, one whose texts are all empty has none; of many copies of a text one is learned from; an empty table gives an empty result; lang, source and ids never reach a prediction; columns
 called lang_pred, score or rejected are replaced.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packreview.llm.common import is_held_out, map_rows, table
+from packreview.llm.common import is_held_out, map_rows, materialise, table
 
 #: The documented bound of the training sample: texts of each language, and bytes of each dictionary.
 DOCS_PER_LANG, DICT_BYTES = 120, 96 << 10
-#: Bytes of a sample that a dictionary needs at least.
-LEAST_BYTES = 64
-#: Languages at most, as each one compresses every block once; more are an error.
-MAX_LANGS = 200
+#: Bytes of all dictionaries together.
+ALL_BYTES = 64 << 20
 BLOCK, LEVEL, MARGIN = 3000, 3, 0.01
 
 
-def training_texts(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> dict[str, list[str]]:
-    """At most per_lang different texts of each language, by a hash of the text; held-out rows are left out.
+def training_texts(docs: DataFrame, per_lang: int = DOCS_PER_LANG, size: int = DICT_BYTES) -> dict[str, list[str]]:
+    """Parts of at most per_lang different texts of each language, chosen by a hash of the text; held-out rows are left out.
 
     Copies count once: a threshold for the hash is set from the number of different texts, and no sort brings the rows
-    of a language together. What comes back is what a dictionary may hold of each text, DICT_BYTES characters at most.
+    of a language together. Each text gives an even share of `size` and what a whole small language lacks besides, from
+    its beginning on; the shares are cut in the executors, so about twice `size` for each language comes back.
     """
     seen = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
     seen = seen.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", F.lit(3)).alias("h"))
-    counts = seen.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"lang has more than {MAX_LANGS} values; fold the rare ones into fewer first")
+    counts = seen.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
     # twice the share that is wanted, and at least the whole of a small language: the count is an estimate
-    bound = [(r.lang, int(min(1.0, 2 * per_lang / max(1, r.n)) * (1 << 30))) for r in counts]
-    bounds = docs.sparkSession.createDataFrame(bound, "lang string, bound long")  # MAX_LANGS rows at most
-    drawn = seen.join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
-    rows = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", 1, DICT_BYTES)).alias("text")).collect()
+    bound = (F.least(F.lit(1.0), 2.0 * per_lang / F.greatest("n", F.lit(1))) * (1 << 30)).cast("long")
+    bounds = materialise(counts.select("lang", bound.alias("bound"), F.ceil(size / F.least("n", F.lit(per_lang)) * 1.25).cast("int").alias("share")), "languages")
+    drawn = seen.join(bounds, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
+    rows = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", F.lit(1), F.col("share"))).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h % (1 << 30), r.text)):
         if len(out.setdefault(r.lang, [])) < per_lang:
@@ -59,13 +54,12 @@ def training_texts(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> dict[str,
 
 
 def dictionaries(texts: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionaries: the first `size` bytes of each language's own sample, short ones repeated to the longest."""
+    """Raw dictionaries of at most `size` bytes from each language's own sample, short ones repeated to the longest."""
+    size = max(1 << 10, min(size, ALL_BYTES // max(1, len(texts))))
     joined = {lang: "\n".join(ts).encode("utf-8", "surrogatepass") for lang, ts in texts.items()}
-    if short := sorted(lang for lang, b in joined.items() if len(b) < LEAST_BYTES):
-        warnings.warn(f"languages with under {LEAST_BYTES} bytes of sample are left out: {', '.join(short)}", stacklevel=2)
-    kept = {lang: joined[lang][:size] + b"\n" for lang in sorted(joined) if lang not in short}
+    kept = {lang: joined[lang][:size] + b"\n" for lang in sorted(joined) if joined[lang].strip()}
     most = max(map(len, kept.values()), default=1) - 1
-    return {lang: (b * -(-most // len(b)))[:most] for lang, b in kept.items()}
+    return {lang: (b * -(-most // len(b)))[:most].ljust(8, b"\n") for lang, b in kept.items()}
 
 
 class Compressors:

@@ -5,7 +5,7 @@ and byte trigrams, shared by all thresholds, which are kept in order by learning
 grade is the sum of the tail probabilities; P(grade >= keep_grade) selects texts.
 
 Edge cases: null, empty or blank texts have f = 0 and so the thresholds' base rates; grades may be fractions,
-and more than toxicity.MAX_CLASSES of them are an error; one grade only, or no labels, gives
+and more than toxicity.MAX_CLASSES of them are binned into so many; one grade only, or no labels, gives
 every text that grade (0 if none); ties and repeated rows are scored alike; extra columns pass through.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from packreview.llm.common import fitted, is_held_out, map_rows, table
 from packreview.llm.textbag import WordScores, word_table
-from packreview.llm.toxicity import MAX_CLASSES, rated, training_sample
+from packreview.llm.toxicity import rated, training_sample
 
 PER_GRADE = 1200  # the documented bound of the training sample, for each grade
 BUCKETS, ORDERS, SELECT = 1 << 17, (3,), 0.5
@@ -94,7 +94,7 @@ def fit(texts: list[str], ratings: list[float], priors: dict[float, float] | Non
 
 def grade_shares(labels: DataFrame, rating: str) -> dict[float, float]:
     """The share of each grade over all rated rows outside the held-out quarter."""
-    rows = rated(labels, rating).groupBy("y").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    rows = rated(labels, rating).groupBy("y").agg(F.count("*").alias("n")).collect()  # MAX_CLASSES rows at most
     return {r.y: r.n / sum(r.n for r in rows) for r in rows}
 
 
@@ -130,7 +130,7 @@ def grade(docs: DataFrame, model: OrdinalModel, keep_grade: float | None = None)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, held_out, expected_grade, p_keep (P(quality >= 1)), keep. More than two grades need no change, up to MAX_CLASSES."""
+    """Per document: doc_id, held_out, expected_grade, p_keep (P(quality >= 1)), keep. More than two grades need no change."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = grade(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_keep", "keep")

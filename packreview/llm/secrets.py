@@ -9,7 +9,8 @@ Positions: a text split at a rule's matches and the matches themselves, whose le
 code points. The costly expressions run only where the rule's pattern occurs.
 
 Edge cases: null text is the empty blob; it, empty and clean texts have no findings; repeated rows and equal texts get
-the same findings; null ids pass through; an empty table gives an empty ledger; other columns are not looked at.
+the same findings; a blob that stands in the ledger more than once (two scans at a time, an append that ran again) has each
+finding once; null ids pass through; an empty table gives an empty ledger; other columns are not looked at.
 A text with very many findings costs in proportion to them; masking it, its length for each of them.
 """
 
@@ -158,7 +159,7 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, keep: list[str], ru
     ok = F.concat_ws("@", "f.rule", "f.version").isin([f"{r.name}@{r.version}" for r in rules])
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("f.rule")).cast("int")
     spans = current.where(ok & (F.size("f.spans") > 0)).select("blob", order.alias("ord"), F.col("f.rule").alias("kind"), F.explode("f.spans").alias("s"))
-    by_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", "ord", "s.end", "kind"))).alias("found"))
+    by_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("s.start", "ord", "s.end", "kind"))).alias("found"))
     rows = versions.select(*keep, blob_id(F.col("text")).alias("__blob"))
     out = rows.join(by_blob.withColumnRenamed("blob", "__blob"), "__blob", "left")
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")

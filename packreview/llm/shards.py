@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packreview.llm.common import fresh_path, reach_workers, table
+from packreview.llm.common import fresh_path, materialise, reach_workers, table
 
 #: Bytes of a bucket, which one task shuffles in memory at a time, and how many buckets a task of the shuffle takes.
 SHARDS, SEED, BUCKET_BYTES, PER_TASK = 8, 17, 48 << 20, 4
@@ -48,9 +48,10 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
     sizes = {r.shard: r.size for r in held.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
     buckets = [max(1, -(-sizes.get(i, 0) // bucket_bytes)) for i in range(shards)]
     # equal rows hash alike; where they fill a quarter of a bucket together, their place in the input spreads them.
-    # Such groups are at most four for each bucket, so they may be broadcast.
+    # They are written, so that Spark knows their size: few are broadcast, many are joined by key.
     equal = held.groupBy("__h").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where(F.col("n") > 1).where(F.col("size") > bucket_bytes // 4)
-    rows = rows.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(equal.select("__h", F.lit(True).alias("__many"))), "__h", "left")
+    equal = materialise(equal.select("__h", F.lit(True).alias("__many")), "heavy-rows")
+    rows = rows.withColumn("__at", F.monotonically_increasing_id()).join(equal, "__h", "left")
     salt = F.when(F.col("__many"), F.col("__at")).otherwise(F.lit(-1))
     many = F.element_at(F.array(*map(F.lit, buckets)), F.col("shard") + 1)
     rows = rows.select("doc_id", "text", "shard", F.pmod(F.xxhash64("__h", salt), many).cast("int").alias("bucket"))

@@ -20,14 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from packreview.llm.common import fitted, is_held_out, map_rows, table
+from packreview.llm.common import fitted, is_held_out, map_rows, materialise, table
 from packreview.llm.textbag import WordScores, fold_words, word_table
 
 #: Training rows of each class at most: the documented bound of the sample that the classifier is fitted on.
 PER_CLASS = 1500
-#: Classes or grades at most; more are an error, never a choice among them.
-MAX_CLASSES = 128
+#: Classes or grades at most; more are binned. Characters of a text that is learned from.
+MAX_CLASSES, SAMPLE_CHARS = 128, 200_000
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 12, 6
 ORDERS = (3, 4, 5)
 THRESHOLD = 0.3
@@ -122,26 +123,31 @@ def score_texts(texts: list[str | None], words: WordScores, bias: float) -> np.n
     return 1 / (1 + np.exp(-np.clip(top, -60, 60)))
 
 
-def rated(labels: DataFrame, label: str) -> DataFrame:
-    """Rows outside the held-out quarter with their label as y: whole numbers as long, others as double; null and NaN are no label."""
+def rated(labels: DataFrame, label: str, most: int = MAX_CLASSES) -> DataFrame:
+    """Rows outside the held-out quarter with their label as y: whole numbers as long, others as double; null and NaN are no
+    label. More than `most` different grades are binned: y is the lower end of one of `most` equal stretches."""
     whole = labels.schema[label].dataType.typeName() in ("boolean", "byte", "short", "integer", "long")
     rows = labels.where(~is_held_out(F.col("doc_id"))).withColumn("y", F.col(label).cast("long" if whole else "double"))
-    return rows.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+    rows = rows.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+    if rows.select("y").distinct().limit(most + 1).count() <= most:
+        return rows
+    y = F.col("y").cast("double")
+    low, high = rows.where(F.abs(y) < float("inf")).agg(F.min(y), F.max(y)).first()
+    step = (high - low) / most or 1.0
+    bin_ = F.least(F.greatest(F.floor((y - low) / step), F.lit(0)), F.lit(most - 1))
+    return rows.withColumn("y", low + bin_ * step)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
     """(key, text, y): at most per_class labelled rows of each class, chosen by a hash of the id, never of the held-out
-    quarter. Of several texts of one id the least is taken, and of several labels the greatest."""
+    quarter. Of several texts of one id the least is taken, and of several labels the greatest; texts of more than
+    SAMPLE_CHARS are not learned from, so the sample is bounded in bytes too."""
     lab = rated(labels, label).groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)))
-    classes = [r[0] for r in lab.select("y").distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} grades; round them to fewer first")
-    some = lab.select("doc_id", "y").where("false")
-    for y in sorted(classes):
-        some = some.unionByName(lab.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y"))
-    # the sample is bounded by per_class rows for each class, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
+    # written, so that Spark knows how small it is: per_class rows for each class
+    some = materialise(lab.withColumn("place", place).where(F.col("place") <= per_class).select("doc_id", "y"), "sample")
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(some, "doc_id")
     rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return rows.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "y")
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -116,12 +117,62 @@ def test_decontamination_spans_and_edges(spark):
 def test_decontamination_in_groups_of_blocks(spark, monkeypatch):
     from packreview.llm import decontam as D
 
-    docs = frame(spark, [(1, "a b c d e f g h"), (1, "x y"), (2, "d e q")])
+    docs = frame(spark, [(1, "a b c d e f g h"), (1, "x y"), (2, "d e q"), (3, "x y a b c - d e z d e"), (4, None), (5, "x  y. A, b; c")])
     bench = spark.createDataFrame([(1, "a b c"), (2, "c d"), (3, "d e"), (4, "x y")], "item_id long, text string")
-    whole = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in D.decontaminate(docs, bench).collect())
+    rows = lambda: sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"]), [tuple(x) for x in r.spans]) for r in D.decontaminate(docs, bench).collect())
+    whole = rows()
+    assert [r[4] for r in whole if r[0] in (1, 3)] == [[(0, 3)], [(0, 9)], [(0, 15), (18, 21)]]
     monkeypatch.setattr(D, "MAX_BLOCKS", 1)
     monkeypatch.setattr(D, "benchmark_blocks", lambda b, size: (D.windows_of([(r.item_id, D.fold_words(r.text))], size) for r in b.orderBy("item_id").collect()))
-    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in D.decontaminate(docs, bench).collect()) == whole
+    assert rows() == whole
+
+
+def test_an_item_longer_than_a_block(spark):
+    from packreview.llm import decontam as D
+
+    words = [f"w{i}" for i in range(57)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "w3 w4"), (None, "zz zz")], "item_id long, text string")
+    parts = list(D.benchmark_blocks(bench, 10, 7))
+    seen = {tuple(w for w in row if w) for p in parts for row in ([next(k for k, v in p.vocab.items() if v == x).decode() if x else "" for x in line] for line in p.words)}
+    assert seen == {tuple(words[i : i + 10]) for i in range(48)} | {("w3", "w4"), ("zz", "zz")} and all(len(p.words) <= 14 for p in parts)
+
+
+def test_secrets_in_a_ledger_that_repeats_itself(spark):
+    from packreview.llm import secrets as S
+
+    docs = frame(spark, [(1, "password = hunter22 token: abcdefgh"), (2, "AKIA" + "B" * 16), (None, "AKIA" + "B" * 16), (3, None)])
+    ledger = S.scan_unseen(docs)
+    once = sorted(S.findings_by_path(docs, ledger, ["doc_id"]).collect(), key=str)
+    twice = S.findings_by_path(docs, ledger.union(ledger), ["doc_id"]).collect()
+    assert sorted(twice, key=str) == once and sum(len(r.findings) for r in once) == 4
+    assert S.scan_unseen(docs, ledger.union(ledger)).isEmpty()
+
+
+def test_tokens_keep_the_columns_of_documents(spark):
+    from packreview.llm import stages
+
+    docs = spark.createDataFrame([(1, "a b", "x", 7, "k"), (2, None, None, None, None)], "doc_id long, text string, decoded string, n_tokens int, more string")
+    out = stages.encode_tokens(spark, docs, "")
+    assert out.columns == ["doc_id", "decoded", "more", "n_tokens", "ids", "decoded_sha256"]
+    assert [(r.doc_id, r.decoded, r.more, r.n_tokens) for r in out.orderBy("doc_id").collect()] == [(1, "x", "k", 2), (2, None, None, 0)]
+    assert stages.encode_tokens(spark, docs.select("text"), "").columns == ["n_tokens", "ids", "decoded_sha256"]
+
+
+def test_every_character_is_classed_as_the_library_does():
+    import public_tokenizers as P
+    import tiktoken
+
+    from packreview.llm import bpe as B
+
+    # ranks that join a letter, a digit and a hyphen with any byte behind them show where a piece ends
+    ranks = {bytes([i]): i for i in range(256)}
+    for lead in b"a1-":
+        ranks |= {bytes([lead, i]): len(ranks) + i for i in range(256)}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(chars), 50_000):
+        text = "".join(f"a{c}1{c}-{c} " for c in chars[i : i + 50_000])
+        assert [n for w in B.pretokens(text) for n in B.fold_word(w.encode(), ranks)] == lib.encode_ordinary(text)
 
 
 def test_secrets_against_brute_force(spark):

@@ -81,6 +81,80 @@ def test_quality_and_toxicity_queries(spark, sf, texts):
     assert len(grades) == len(texts) and all(0 <= r.p_keep <= 1 and r.keep == (r.p_keep >= 0.5) for r in grades)
 
 
+def test_language_query_against_compression(spark, sf, texts):
+    """Every text's blocks are compressed here with each dictionary, and the smallest sum is taken."""
+    import zstandard
+
+    from packreview.llm import langid as L
+
+    dicts = L.dictionaries(L.training_texts(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert list(dicts) == sorted(dicts) and len({len(b) for b in dicts.values()}) == 1
+    each = {k: zstandard.ZstdCompressor(L.LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False) for k, b in dicts.items()}
+    got, once = by_row(run("op1_language", spark, sf).collect(), texts)
+    for i, t in texts:
+        if i in once and t and re.search(r"[^\W\d_]", t):
+            blocks = [t[a : a + 3000].encode() for a in range(0, len(t), 3000)]
+            sums = {k: sum(len(c.compress(b)) for b in blocks) for k, c in each.items()}
+            assert got[i].lang_pred == min(sums, key=lambda k: (sums[k], k))
+            low, next_ = sorted(sums.values())[:2]
+            assert got[i].rejected == (next_ - low < 0.01 * low)
+            assert got[i].score == pytest.approx(1 / sum(np.exp(-min(50, (s - low) / (4 * len(blocks)))) for s in sums.values()))
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & M64
+    return h ^ (h >> 29)
+
+
+def features(word, orders, buckets=1 << 17):
+    """Buckets of <word>'s n-grams and of itself, by whole numbers of Python."""
+    b = b"<" + word + b">"
+    out = []
+    for n in orders:
+        for a in range(len(b) - n + 1):
+            h = 0
+            for x in b[a : a + n]:
+                h = (h * 0x9E3779B97F4A7C15 + x + 1) & M64
+            out.append(mixed((h + n) & M64) % buckets)
+    return [*out, mixed_sum(b) % buckets]
+
+
+def mixed_sum(b):
+    return mixed(sum(mixed((x + 1 + i * 0x9E3779B97F4A7C15) & M64) for i, x in enumerate(b)) & M64)
+
+
+def test_quality_query_against_summed_weights(spark, sf, texts):
+    from packreview.llm import quality as Q
+
+    model = Q.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got, once = by_row(run("op2_quality", spark, sf).collect(), texts)
+    for i, t in texts:
+        if i in once and len(t or "") < 3000:
+            at = [x for w in (t or "").encode().lower().split() for x in features(w, (3,))]
+            f = sum(float(model.weights[x]) for x in at) / max(1, len(at))
+            tail = [1 / (1 + np.exp(-(f - c))) for c in model.thresholds]
+            assert got[i].expected_grade == pytest.approx(model.grades[0] + sum(p * s for p, s in zip(tail, np.diff(model.grades), strict=True)), abs=1e-6)
+            assert got[i].p_keep == pytest.approx(tail[-1], abs=1e-6) and got[i].keep == (got[i].p_keep >= 0.5)
+
+
+def test_toxicity_query_against_averaged_windows(spark, sf, texts):
+    from packreview.llm import toxicity as X
+
+    model = X.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got, once = by_row(run("op8_toxicity", spark, sf).collect(), texts)
+    for i, t in texts:
+        if i in once and len(t or "") < 3000:
+            words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))]
+            bags = [[float(model.subword[x]) for x in features(w, (3, 4, 5))] for w in words]
+            starts = range(0, max(1, len(words) - 12 + 6), 6) if words else ()
+            means = [sum(map(sum, bags[a : a + 12])) / sum(map(len, bags[a : a + 12])) for a in starts if bags[a : a + 12]]
+            z = max(means) + model.bias if means else min(model.bias, -1.5)
+            assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_secrets_query(spark, sf, texts):
     rules = [
         ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
@@ -133,6 +207,38 @@ def test_sharding_query(spark, sf, texts):
     assert all(len({r.shard for r in rows if r.doc_id == i}) == 1 for i, _ in texts)
 
 
+def test_sharding_query_against_its_hashes(spark, sf, texts, tmp_path):
+    """Shards from the ids' hashes, and each bucket's order from the seeded permutation of its sorted rows."""
+    import xxhash
+
+    from packreview.llm import shards as H
+
+    def drawn(i, k):  # Spark's xxhash64 of several columns takes each result as the next one's seed
+        seed = xxhash.xxh64_intdigest(str(i).encode(), 42)
+        for n in (H.SEED, k):
+            seed = xxhash.xxh64_intdigest(struct.pack("<i", n), seed)
+        return seed - (1 << 64) * (seed >> 63)
+
+    rows = run("op7_sharding", spark, sf).collect()
+    for r in rows:
+        for shard, n in ((r.shard, 8), (r.grown_shard, 9)):
+            assert shard == max(range(n), key=lambda k: (drawn(r.doc_id, k), -k))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    written = H.shuffle_to_shards(docs, str(tmp_path / "shards"), bucket_bytes=60_000)
+    slots = {}
+    cells = {}
+    for r in H.with_slots(written, written).collect():
+        cells.setdefault((r.shard, r.bucket), []).append((r.place, r.doc_id, r.text))
+        slots.setdefault(r.shard, []).append((r.slot, r.bucket, r.place))
+    assert sorted((i, t or "") for c in cells.values() for _, i, t in c) == sorted((i, t or "") for i, t in texts) and len(cells) > 16
+    for (shard, bucket), held in cells.items():
+        plain = sorted(((i, t) for _, i, t in held), key=lambda x: (x[0], x[1] is None, x[1] or ""))
+        order = np.random.default_rng([H.SEED, shard, bucket]).permutation(len(plain))
+        assert [(i, t) for _, i, t in sorted(held, key=lambda x: x[0])] == [plain[k] for k in order]
+    for held in slots.values():
+        assert [s for s, *_ in sorted(held, key=lambda x: x[1:])] == list(range(len(held)))
+
+
 def components(sets, percent):
     """(component, linked) of rows numbered in order, by all pairs."""
     parent = list(range(len(sets)))

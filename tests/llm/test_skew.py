@@ -1,6 +1,7 @@
 """Skewed labels: rare languages, many grades."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -15,9 +16,8 @@ def test_rare_language_leaves_the_others_whole(spark):
     letters = {"aa": "etaoinshrdlu", "bb": "etaoinshrdlu", "cc": "kwzxqjyvbpgm"}
     words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(3, 8))) for _ in range(60)] for k, v in letters.items()}
     make = lambda k, n=60: " ".join(rng.choice(words[k]) for _ in range(n))
-    learned = {k: [make(k) for _ in range(120)] for k in ("aa", "bb")} | {"cc": [make("cc", 16)], "dd": ["too short"]}
-    with pytest.warns(UserWarning, match="dd"):
-        dicts = L.dictionaries(learned)
+    learned = {k: [make(k) for _ in range(120)] for k in ("aa", "bb")} | {"cc": [make("cc", 16)], "dd": ["  ", ""]}
+    dicts = L.dictionaries(learned)
     whole = {k: "\n".join(v).encode() for k, v in learned.items()}
     assert list(dicts) == ["aa", "bb", "cc"] and len(whole["cc"]) < 200 and whole["aa"][:30_000] == dicts["aa"][:30_000]
     assert len({len(b) for b in dicts.values()}) == 1 and set(dicts["cc"].split(b"\n")[:-1]) == {whole["cc"]}
@@ -56,12 +56,39 @@ def test_shares_of_fractional_grades(spark):
     assert {r.y for r in training_sample(docs, labels, "quality").collect()} == set(shares)
 
 
-def test_too_many_grades_are_an_error(spark):
+def test_many_grades_are_binned(spark):
+    from packreview.llm import quality as Q
     from packreview.llm import toxicity as X
 
     labels = spark.range(2000).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "doc_id / 2000 as quality")
-    with pytest.raises(ValueError, match="more than 128 grades"):
-        X.training_sample(labels.selectExpr("doc_id", "'t' as text"), labels, "quality")
+    docs = labels.selectExpr("doc_id", "'t' as text")
+    sample = X.training_sample(docs, labels, "quality").collect()
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(sample) == len(held) and len({r.y for r in sample}) == 128
+    assert all(0 <= int(r.key) / 2000 - r.y < 0.0079 for r in sample)
+    assert sum(Q.grade_shares(labels, "quality").values()) == pytest.approx(1)
+    assert Q.grade(docs, Q.train(docs, labels)).count() == 2000
+
+
+def test_many_and_tiny_languages_are_all_learned(spark):
+    from packreview.llm import langid as L
+
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3} " * 30, f"l{i % 260}", "s", 0) for i in range(2600)] + [(9000, "q", "one", "s", 0), (9001, "", "none", "s", 0), (9004, "", "none", "s", 0)]
+    texts = L.training_texts(spark.createDataFrame(rows, DOCS))
+    dicts = L.dictionaries(texts)
+    assert {f"l{i}" for i in range(260)} <= set(dicts) and "none" not in dicts and ("one" in dicts) == ("one" in texts)
+    assert len(L.dictionaries({f"x{i}": ["ab" * 60_000] for i in range(1300)})["x7"]) <= (64 << 20) // 1300
+    assert L.dictionaries({"one": ["q"]})["one"].startswith(b"q")
+
+
+def test_each_text_gives_its_share(spark):
+    from packreview.llm import langid as L
+
+    rows = [(i, chr(97 + i % 20) * 50_000 + f" {i}", "en", "s", 0) for i in range(20)]
+    got = L.training_texts(spark.createDataFrame(rows, DOCS))["en"]
+    learned = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(got) == len(learned) and all(len(t) == -(-L.DICT_BYTES * 125 // (100 * len(learned))) for t in got)
+    assert sorted(set(L.dictionaries({"en": got})["en"].decode()) - {"\n"}) == sorted({chr(97 + i) for i in learned}) or len(got) > 15
 
 
 @pytest.mark.parametrize("text", ["same", "other"])
