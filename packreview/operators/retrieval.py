@@ -10,15 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from packreview.functions import text as T
-from packreview.sources.scratch import materialise
+from packreview.sources.scratch import materialise, reach_workers
 
 DIMS, K1, B, IDF_FLOOR, RRF = 384, 1.5, 0.75, 0.25, 60
+#: Chunks and queries of a corpus that meet in one task.
+CHUNK_BLOCK, QUERY_BLOCK = 4096, 2048
 #: Bytes of a query matrix that one pass over the vectors takes; more queries take more passes.
 QUERY_BLOCK_BYTES = 32 << 20
 
@@ -36,39 +39,97 @@ def hash_embedding(rows: DataFrame, key: str) -> DataFrame:
     return w.where("w <> 0").withColumn("w", F.col("w") / norm)
 
 
-def _fillers(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The first chunks of the corpus by pos that a query has no score for, as many as can still rank among its first k.
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The first k of found(corpus, query_id, chunk_id, pos, score) by score, then pos, with their rank."""
+    order = Window.partitionBy("corpus", "query_id").orderBy(F.round("score", 9).desc(), "pos", "chunk_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("corpus", "query_id", "chunk_id", "pos", "rank", "score")
+
+
+def _padded(top: DataFrame, scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, below_zero: bool) -> DataFrame:
+    """top, filled up for the queries that have fewer than k scores of zero or more: with score 0 and the first chunks of their
+    corpus by pos that they have no score for.
 
-    Of the first k + s chunks at least k are without a score where s have one, so each query meets k + s places and never
-    the whole corpus.
+    Such a query needs the first k places of its corpus and no more, and as many further ones as it has scores below zero,
+    which exist only where below_zero says so; so it meets fewer than 2k places, and of a corpus no more rows than the
+    longest need are ever put in order. All its scores of zero or more are in top already.
     """
-    asked = _asked(queries).select("corpus", "query_id").distinct()
-    held = asked.join(scores.groupBy("corpus", "query_id").agg(F.count("*").alias("s")), ["corpus", "query_id"], "left")
+    top = materialise(top, "top")
+    enough = top.groupBy("corpus", "query_id").agg(F.count_if(F.round("score", 9) >= 0).alias("enough"))
+    short = _asked(queries).select("corpus", "query_id").distinct().join(enough, ["corpus", "query_id"], "left")
+    short = short.where(F.coalesce("enough", F.lit(0)) < k).withColumn("need", F.lit(k))
+    if below_zero:
+        less = scores.where(F.round("score", 9) < 0).groupBy("corpus", "query_id").agg(F.count("*").alias("less"))
+        short = short.join(less, ["corpus", "query_id"], "left").withColumn("need", k + F.coalesce("less", F.lit(0)))
+    short = materialise(short.select("corpus", "query_id", F.col("need").cast("int").alias("need")), "short")
+    most = short.agg(F.max("need")).first()[0]
+    if most is None:
+        return top
     place = F.row_number().over(Window.partitionBy("corpus").orderBy("pos", "chunk_id"))
-    placed = chunks.select("corpus", "chunk_id", "pos", place.alias("place"))
-    wanted = F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("s", F.lit(0)).cast("int")))
-    some = held.select("corpus", "query_id", wanted.alias("place")).join(placed, ["corpus", "place"])
-    known = scores.select("corpus", "query_id", "chunk_id")
-    some = some.join(known, ["corpus", "query_id", "chunk_id"], "left_anti")
-    return some.select("corpus", "query_id", "chunk_id", "pos", F.lit(0.0).alias("score"))
-
-
-def _ranked(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, pad: bool) -> DataFrame:
-    """Top k of scores(corpus, query_id, chunk_id, score) by score, then pos; pad fills up with zero scores within the corpus."""
-    found = scores.join(chunks.select("corpus", "chunk_id", "pos"), ["corpus", "chunk_id"])
-    if pad:
-        found = found.unionByName(_fillers(scores, chunks, queries, k).select(*found.columns))
-    order = Window.partitionBy("corpus", "query_id").orderBy(F.round("score", 9).desc(), "pos", "chunk_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("corpus", "query_id", "chunk_id", "rank", "score")
+    first = chunks.join(short.select("corpus").distinct(), "corpus", "left_semi").select("corpus", "chunk_id", "pos", place.alias("place")).where(F.col("place") <= most)
+    places = short.join(first, "corpus").where("place <= need").select("corpus", "query_id", "chunk_id", "pos", F.lit(0.0).alias("score"))
+    known = (scores if below_zero else top).select("corpus", "query_id", "chunk_id")
+    fill = places.join(known, ["corpus", "query_id", "chunk_id"], "left_anti")
+    return _top(top.drop("rank").unionByName(fill), k)
+
+
+def _cut(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """(corpus, name): into how many blocks of about `size` rows each corpus is cut; written, as it has a row a corpus."""
+    return rows.groupBy("corpus").agg(F.ceil(F.count(key) / size).cast("int").alias(name))
+
+
+def hash_codes(text: Column) -> Column:
+    """array<smallint>: dimension and sign of each token, as 2 * dimension + (1 if it counts up)."""
+    code = lambda c: (c % DIMS * 2 + (c.bitwiseAND(0x100) != 0).cast("int")).cast("smallint")
+    return F.transform(T.tokenize(text), lambda t: T.let(F.crc32(t), code))
+
+
+def _dense(codes: pa.ChunkedArray) -> np.ndarray:
+    """Rows of length 1 (or 0) from the tokens' codes."""
+    lists = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    code = np.asarray(lists.flatten(), np.int64)
+    m = np.bincount(row * DIMS + code // 2, np.where(code % 2 == 1, 1.0, -1.0), len(lists) * DIMS).reshape(len(lists), DIMS)
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(norm > 0, norm, 1)[:, None]
 
 
 def hash_vector_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False) -> DataFrame:
-    """RET2 on hash embeddings: inner products by an equi-join on (corpus, dim)."""
-    q = hash_embedding(_asked(queries), "query_id").withColumnRenamed("w", "wq")
-    c = hash_embedding(chunks, "chunk_id")
-    scores = c.join(q, ["corpus", "dim"]).groupBy("corpus", "query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
-    return _ranked(scores, chunks, queries, k, pad)
+    """RET2 on hash embeddings: blocks of a corpus's queries and chunks meet, and a matrix product gives each query's k best of
+    the block. pad ranks chunks that share no dimension with the query as well, with score 0.
+
+    Only the tokens' codes move, once for each block of the other side; a small corpus is one block of each.
+    """
+    reach_workers(chunks.sparkSession)
+    c = chunks.select("corpus", "chunk_id", "pos", hash_codes(F.coalesce("text", F.lit(""))).alias("codes"))
+    q = _asked(queries).select("corpus", "query_id", hash_codes(F.col("text")).alias("codes"))
+    cuts = materialise(_cut(chunks, "chunk_id", CHUNK_BLOCK, "cbs").join(_cut(_asked(queries), "query_id", QUERY_BLOCK, "qbs"), "corpus"), "cuts")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    c = c.join(cuts, "corpus").select("corpus", own("chunk_id", "cbs").alias("cb"), each("qbs").alias("qb"), "chunk_id", "pos", "codes")
+    q = q.join(cuts, "corpus").select("corpus", each("cbs").alias("cb"), own("query_id", "qbs").alias("qb"), "query_id", "codes")
+    fields = [chunks.schema["corpus"], queries.schema["query_id"], chunks.schema["chunk_id"], chunks.schema["pos"], StructField("score", DoubleType())]
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("pos", "ascending"), ("chunk_id", "ascending")])  # ties keep this order
+        vectors, asked, rows, cols, scores = _dense(left.column("codes")), _dense(right.column("codes")), [], [], []
+        for at in range(0, len(asked), 256):
+            s = asked[at : at + 256] @ vectors.T
+            rounded = np.round(s, 9)
+            if not pad:
+                rounded[((asked[at : at + 256] != 0).astype(float) @ (vectors != 0).astype(float).T) == 0] = -np.inf
+            order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
+            row, place = np.nonzero(np.take_along_axis(rounded, order, 1) > -np.inf)
+            rows.append(row + at)
+            cols.append(order[row, place])
+            scores.append(s[row, cols[-1]])
+        row, col = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, cols))
+        out = {"corpus": pa.repeat(key[0], len(row)), "query_id": right.column("query_id").take(pa.array(row)), "chunk_id": left.column("chunk_id").take(pa.array(col)), "pos": left.column("pos").take(pa.array(col))}
+        return pa.table(out | {"score": pa.array(np.concatenate([np.zeros(0), *scores]))})
+
+    at = ["corpus", "cb", "qb"]
+    found = c.groupBy(*at).cogroup(q.groupBy(*at)).applyInArrow(best, StructType(fields))
+    return _top(found, k).drop("pos")
 
 
 def _matrix(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +149,7 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     vectors and those with null or non-finite components are in no result.
     """
     spark = vectors.sparkSession
+    reach_workers(spark)
     kind, of = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
     made = StructType([StructField("query_id", kind), StructField("id", of), StructField("score", DoubleType())])
 
@@ -128,25 +190,25 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bm25Stats:
-    """RET3: base(corpus, chunk_id, tokens), terms(corpus, token, df, idf), corpora(corpus, n, avgdl)."""
+    """RET3: base(corpus, chunk_id, pos, tokens), terms(corpus, token, df, idf), corpora(corpus, n, avgdl)."""
 
     base: DataFrame
     terms: DataFrame
     corpora: DataFrame
 
     def postings(self, words: DataFrame | None = None) -> DataFrame:
-        """(corpus, chunk_id, dl, token, tf), of the given words(corpus, token) alone: no other token is shuffled."""
-        each = self.base.select("corpus", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+        """(corpus, chunk_id, pos, dl, token, tf), of the given words(corpus, token) alone: no other token is shuffled."""
+        each = self.base.select("corpus", "chunk_id", "pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
         if words is not None:
             each = each.join(words, ["corpus", "token"], "left_semi")
-        return each.groupBy("corpus", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+        return each.groupBy("corpus", "chunk_id", "pos", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25_stats(chunks: DataFrame) -> Bm25Stats:
     """RET3 of every corpus; terms and corpora are written once, so that Spark knows their sizes and no search counts anew."""
     tokens = T.tokenize(F.col("text"))
     tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("empty")))
-    base = chunks.select("corpus", "chunk_id", tokens.alias("tokens"))
+    base = chunks.select("corpus", "chunk_id", "pos", tokens.alias("tokens"))
     corpora = base.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     corpora = materialise(corpora, "bm25_corpora")
     distinct = base.select("corpus", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -168,8 +230,11 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = False, s
     postings = stats.postings(q.select("corpus", "token").distinct())
     length = 1 - B + B * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scores = postings.join(q, ["corpus", "token"]).groupBy("corpus", "query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return _ranked(scores, chunks, queries, k, pad)
+    scores = postings.join(q, ["corpus", "token"]).groupBy("corpus", "query_id", "chunk_id", "pos").agg(F.sum(part).alias("score"))
+    top = _top(scores, k)
+    if pad:  # a score is below zero only where a word has such a weight
+        top = _padded(top, scores, chunks, queries, k, not q.where("idf < 0").isEmpty())
+    return top.drop("pos")
 
 
 def rrf(vector: DataFrame, bm25: DataFrame, k: int) -> DataFrame:
