@@ -241,6 +241,21 @@ def evl3_match_gold(s, d):
     return evaluate.match_gold(extract.requirements(Q.tender(s, d)).select("case_id", "ord", "text", "quote"), gold)
 
 
+@Q.query(f"""WITH RECURSIVE p AS ({Q._ext1('v1')}), g AS (SELECT case_id, pos AS gold_ord, CASE pos % 3 WHEN 0 THEN 'turnover' WHEN 1 THEN 'rs. ' || pos % 5 ELSE 'certificate' END AS phrase FROM ({Q._TENDER}) WHERE pos % 8 IN (0, 3, 6)),
+e AS (SELECT p.case_id, p.ord, list(gold_ord ORDER BY gold_ord) AS wants FROM p JOIN g ON g.case_id = p.case_id AND contains(lower(p.text || ' ' || p.text), phrase) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS n FROM e),
+step(case_id, n, used) AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM g
+ UNION ALL SELECT case_id, n, CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END FROM (
+  SELECT s.case_id, o.n, used, list_filter(wants, lambda x: NOT list_contains(used, x)) AS free FROM step s JOIN o ON o.case_id = s.case_id AND o.n = s.n + 1))
+SELECT g.case_id, count(*) AS gold, (SELECT count(*) FROM p WHERE p.case_id = g.case_id) AS predicted, CAST((SELECT max(len(used)) FROM step s WHERE s.case_id = g.case_id) AS BIGINT) AS matched FROM g GROUP BY g.case_id""")
+def evl3_contested(s, d):
+    """Gold rows of a few words each, which many predictions hold: who takes which is decided by their order alone."""
+    t = Q.tender(s, d).where("pos % 8 in (0, 3, 6)")
+    phrase = F.when(F.col("pos") % 3 == 0, F.lit("turnover")).when(F.col("pos") % 3 == 1, F.concat(F.lit("Rs. "), (F.col("pos") % 5).cast("string"))).otherwise(F.lit("Certificate"))
+    gold = t.select("case_id", F.col("pos").alias("gold_ord"), F.array(phrase).alias("phrases"))
+    return evaluate.match_gold(extract.requirements(Q.tender(s, d)).select("case_id", "ord", "text", "quote"), gold)
+
+
 @Q.query(f"SELECT case_id, pos AS gold_id, chunk_id, CASE WHEN pos % 2 = 0 THEN text ELSE 'Line ' || CAST(pos AS VARCHAR) || ' before. ' || text END AS span FROM ({Q._TENDER}) WHERE pos % 8 = 3")
 def evl5_anchors(s, d):
     """Chunks of three lines each; the phrases stand in the middle line, or in the first two."""

@@ -217,7 +217,12 @@ def ext3_deadlines(s, d):
     return extract.deadlines(tender(s, d)).select("case_id", "ord", "chunk_id", "event")
 
 
-@query()
+@query(r"""WITH RECURSIVE k AS (SELECT *, left(trim(regexp_replace(lower(text), '[\t-\r \x{85}\p{Z}]+', ' ', 'g')), 240) AS key FROM conversations),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM k WHERE key <> ''),
+step(conv_id, n, kept, stays) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false FROM q
+ UNION ALL SELECT conv_id, n, CASE WHEN fresh THEN list_append(kept, key) ELSE kept END, fresh FROM (
+  SELECT s.conv_id, q.n, kept, key, len(list_filter(kept, lambda x: contains(x, key) OR contains(key, x))) = 0 AS fresh FROM step s JOIN q ON q.conv_id = s.conv_id AND q.n = s.n + 1))
+SELECT q.conv_id AS case_id, turn AS ord, text AS quote FROM step s JOIN q ON q.conv_id = s.conv_id AND q.n = s.n WHERE stays""")
 def ext4_dedupe(s, d):
     rows = table(s, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ord"), F.col("text").alias("quote"))
     return extract.dedupe_containment(rows)

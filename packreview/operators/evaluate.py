@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packreview.functions import text as T
 from packreview.operators.contain import pairs_to_compare
+from packreview.sources.scratch import materialise
 
 
 def _holding(needles: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
@@ -49,29 +49,36 @@ def scores_of_hits(hits: DataFrame, n: DataFrame) -> DataFrame:
 def match_gold(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """EVL3: (case_id, gold, predicted, matched): each prediction, in order, takes the first free gold row whose phrases it holds.
 
-    predictions: case_id, ord, text, quote. gold: case_id, gold_ord, phrases. Only pairs that pass the phrase test reach the fold.
+    predictions: case_id, ord, text, quote. gold: case_id, gold_ord, phrases.
     """
     blob = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("quote", F.lit("")))
     texts = predictions.select("case_id", F.col("ord").alias("chunk_id"), blob.alias("text"))
     wanted = gold.select("case_id", "gold_ord", "phrases")
     pairs = _holding(wanted, texts, "gold_ord").select("case_id", F.col("chunk_id").alias("ord"), "gold_ord")
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        free, used, n = set(), set(), 0
-        for p, o in g.sort_values(["ord", "gold_ord"])[["ord", "gold_ord"]].itertuples(index=False):
-            if p not in used and o not in free:
-                used.add(p)
-                free.add(o)
-                n += 1
-        return pd.DataFrame({"case_id": [g["case_id"].iloc[0]], "matched": [n]})
-
-    kind = dict(pairs.dtypes)["case_id"]
-    m = pairs.groupBy("case_id").applyInPandas(fold, f"case_id {kind}, matched long")
+    m = taken(pairs).groupBy("case_id").agg(F.count("*").alias("matched"))
     g = gold.groupBy("case_id").agg(F.count("*").alias("gold"))
     p = predictions.groupBy("case_id").agg(F.count("*").alias("predicted"))
     return g.join(p, "case_id", "full").join(m, "case_id", "left").fillna(0, ["gold", "predicted", "matched"])
 
 
+def taken(pairs: DataFrame) -> DataFrame:
+    """(case_id, gold_ord, ord): who takes what where the predictions of pairs(case_id, ord, gold_ord) take their turn in order,
+    each the first gold row that is still free.
+
+    In rounds: each prediction asks for its first gold row, and a gold row is held by the earliest that asks. A holder can
+    only be followed by an earlier one, so later ones give that row up for good. When nobody is turned away, what is
+    held is taken. A round costs each prediction that is turned away one gold row at least.
+    """
+    left = materialise(pairs.distinct(), "pairs")
+    while True:
+        asked = left.groupBy("case_id", "ord").agg(F.min("gold_ord").alias("gold_ord"))
+        held = materialise(asked.groupBy("case_id", "gold_ord").agg(F.min("ord").alias("ord"), F.count("*").alias("asked")), "held")
+        if held.where("asked > 1").isEmpty():
+            return held.select("case_id", "gold_ord", "ord")
+        holder = held.select("case_id", "gold_ord", F.col("ord").alias("holder"))
+        left = materialise(left.join(holder, ["case_id", "gold_ord"], "left").where("holder is null or ord <= holder").drop("holder"), "pairs")
+
+
 def micro(counts: DataFrame, *by: str) -> DataFrame:
     """EVL4: precision, recall and F1 of summed counts; null where a total is zero."""
     s = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("gold", "predicted", "matched")])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,8 +81,9 @@ def deadlines(chunks: DataFrame, limit: int = MAX_DEADLINES) -> DataFrame:
 def dedupe_containment(rows: DataFrame, quote: str = "quote", order: str = "ord") -> DataFrame:
     """EXT4: in order, drops a quote whose key contains or is contained in one kept before.
 
-    Equal keys go first, by window. Which keys contain which is found by words; only those pairs are folded in order, so
-    a quote that shares nothing never reaches the fold. Of equal `order` in a case, which row stays is undefined.
+    Equal keys go first, by window. Which keys contain which is found by words, and those pairs are settled in rounds: a
+    quote without an unsettled earlier partner stays, its later partners go, and what only they stood against is free. Of
+    equal `order` in a case, which row stays is undefined.
     """
     key = F.substring(T.whitespace_norm(F.lower(F.col(quote))), 1, 240)
     keyed = rows.withColumn("__key", key).where("__key <> ''")
@@ -92,18 +94,24 @@ def dedupe_containment(rows: DataFrame, quote: str = "quote", order: str = "ord"
     pairs = pairs_to_compare(part, texts, "part", F.array("__key"), "whole").where("part <> whole")
     pairs = pairs.join(part, ["case_id", "part"]).join(texts, ["case_id", "whole"]).where(F.contains("text", "__key"))
     pairs = pairs.select("case_id", F.greatest("part", "whole").alias("late"), F.least("part", "whole").alias("early"))
+    gone = covered(pairs).withColumnRenamed("late", order)
+    return once.join(gone, ["case_id", order], "left_anti").select(*rows.columns)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        """Rows that go: those with an earlier partner that stays."""
-        gone: dict = {}
-        for late, early in group.sort_values(["late", "early"])[["late", "early"]].itertuples(index=False):
-            if not gone.get(early, False):
-                gone[late] = True
-        return pd.DataFrame({"case_id": group["case_id"].iloc[0], order: list(gone)})
 
-    kinds = dict(once.dtypes)
-    gone = pairs.groupBy("case_id").applyInPandas(fold, f"case_id {kinds['case_id']}, `{order}` {kinds[order]}")
-    return once.join(gone, ["case_id", order], "left_anti").select(*rows.columns)
+def covered(pairs: DataFrame) -> DataFrame:
+    """(case_id, late) of pairs(case_id, late, early) whose row has an early partner that is not itself covered.
+
+    Each round settles every row whose early partners are settled, so there are as many rounds as the longest chain of
+    partners that are covered and uncovered in turn; containment is transitive, so it is short.
+    """
+    gone, left = [], materialise(pairs.distinct(), "pairs")
+    while not left.isEmpty():
+        stay = left.select("case_id", "early").distinct().join(left.select("case_id", F.col("late").alias("early")), ["case_id", "early"], "left_anti")
+        now = materialise(left.join(stay, ["case_id", "early"], "left_semi").select("case_id", "late").distinct(), "covered")
+        gone.append(now)
+        left = left.join(now, ["case_id", "late"], "left_anti").join(now.withColumnRenamed("late", "early"), ["case_id", "early"], "left_anti")
+        left = materialise(left, "pairs")
+    return reduce(DataFrame.unionByName, gone) if gone else pairs.select("case_id", "late").where("false")
 
 
 def estimated_cost(chunks: DataFrame) -> DataFrame:

@@ -29,34 +29,15 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
-#: Bytes of a table that may be one row group, which one task reads whatever the number of cores.
-ONE_GROUP = 32 << 20
+#: Bytes of a table whose few files may be a row group each, which one task reads whatever the number of cores.
+FEW_GROUPS = 32 << 20
 
 
 def dealt_out(df: DataFrame) -> DataFrame:
-    """A table of at most ONE_GROUP bytes dealt out to all cores; a larger one as it is, as it has row groups enough."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= ONE_GROUP else df
+    """A table of at most FEW_GROUPS bytes in fewer files than there are cores is dealt out to all of them; any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= FEW_GROUPS
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def short_plans(spark: SparkSession) -> Iterator[None]:
-    """Within it Spark keeps the beginning of a plan's description alone; the driver holds one for each of many queries."""
-    name, before = "spark.sql.maxPlanStringLength", spark.conf.get("spark.sql.maxPlanStringLength", None)
-    spark.conf.set(name, "20000")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    with short_plans(spark):
-        df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh_path(
\ No newline at end of file
