@@ -218,7 +218,7 @@ def merge_model_decisions(rows: DataFrame, replies: DataFrame, menu: DataFrame,
     size = rows.groupBy("batch_id").agg(F.count("*").alias("size"))
     ids = item.withColumn("key", norm_id(F.col("item.id")))
     last = ids.groupBy("batch_id", "key").agg(F.max_by("item", "at").alias("item"))  # of equal ids the last counts
-    base = rows.join(size, "batch_id").join(replies.select("batch_id", F.size("items").alias("got")), "batch_id", "left")
+    base = rows.join(size, "batch_id").join(replies.select("batch_id", F.coalesce(F.size("items"), F.lit(0)).alias("got")), "batch_id", "left")
     r1 = last.select("batch_id", F.col("key").alias("k1"), F.col("item").alias("by_r"))
     r2 = last.select("batch_id", F.col("key").alias("k2"), F.col("item").alias("by_n"))
     r3 = item.select("batch_id", (F.col("at") + 1).alias("n"), F.col("item").alias("by_pos"))
@@ -226,18 +226,22 @@ def merge_model_decisions(rows: DataFrame, replies: DataFrame, menu: DataFrame,
     j = j.join(r1, ["batch_id", "k1"], "left").join(r2, ["batch_id", "k2"], "left").join(r3, ["batch_id", "n"], "left")
     j = j.withColumn("item", F.coalesce("by_r", "by_n", F.when(F.col("got") == F.col("size"), F.col("by_pos"))))
     j = j.withColumn("sid", norm_id(F.col("item.evidence_span")))
-    spans = menu.select("batch_id", "n", norm_id(F.col("span_id")).alias("sid"), F.col("text").alias("span"), F.col("chunk_id").alias("span_chunk"), F.col("page").alias("span_page"))
+    null = F.lit(None).cast("string")
+    of_menu = [(F.col(c) if c in menu.columns else null).alias(f"span_{c}") for c in ("filename", "clause")]
+    spans = menu.select("batch_id", "n", norm_id(F.col("span_id")).alias("sid"), F.col("text").alias("span"), F.col("chunk_id").alias("span_chunk"), F.col("page").alias("span_page"), *of_menu)
     j = j.join(spans, ["batch_id", "n", "sid"], "left")
     said = F.regexp_replace(F.trim(F.lower(F.coalesce("item.decision", F.lit("unclear")))), "[ -]", "_")
     said = F.when(said.isin(*RANK), said).otherwise("unclear")
     lost = F.col("got").isNull()  # a batch without a reply keeps the rules' decision, or nothing
-    keep = [c for c in rows.columns if c not in ("decision", "obligation", "rationale", "evidence_quote", "evidence_chunk_id", "evidence_page")]
+    cited = [c for c in ("evidence_filename", "evidence_clause") if c in rows.columns]
+    keep = [c for c in rows.columns if c not in ("decision", "obligation", "rationale", "evidence_quote", "evidence_chunk_id", "evidence_page", *cited)]
     pick = lambda model, rule, none: F.when(~lost, model).otherwise(rule if fallback else none)
-    null = F.lit(None).cast("string")
+    said_of = lambda c: F.nullif(F.col(f"item.{c}"), F.lit(""))
     return j.select(
         *keep, F.col("decision").alias("rule_decision"), pick(said, F.col("decision"), F.lit("unclear")).alias("decision"),
-        pick(F.coalesce("item.obligation", "obligation"), F.col("obligation"), F.col("obligation")).alias("obligation"),
-        pick(F.coalesce("item.rationale", "rationale"), F.col("rationale"), F.lit("The model call failed. No rule fallback was applied.")).alias("rationale"),
+        pick(F.coalesce(said_of("obligation"), "obligation"), F.col("obligation"), F.col("obligation")).alias("obligation"),
+        pick(F.coalesce(said_of("rationale"), "rationale"), F.col("rationale"), F.lit("The model call failed. No rule fallback was applied.")).alias("rationale"),
         pick(F.col("span"), F.col("evidence_quote"), null).alias("evidence_quote"), pick(F.col("span_chunk"), F.col("evidence_chunk_id"), null).alias("evidence_chunk_id"),
         pick(F.col("span_page"), F.col("evidence_page"), F.lit(None).cast("int")).alias("evidence_page"),
+        *[pick(F.col(c.replace("evidence", "span")), F.col(c), null).alias(c) for c in cited],
     )

@@ -112,19 +112,38 @@ def run_rows(matrix: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
     m = matrix.withColumn("requirement_id", rid).withColumn("run_id", F.lit(run_id))
     req = m.select(F.col("requirement_id").alias("id"), "run_id", "case_id", F.coalesce("kind", F.lit("eligibility")).alias("kind"), "text", "clause", "page", "quote", "chunk_id", "filename")
     link = m.select(
-        F.sha2(F.concat_ws("|", "requirement_id", F.lit("link")), 256).alias("id"), "requirement_id", "run_id", F.coalesce("decision", F.lit("unclear")).alias("decision"),
+        F.sha2(F.concat_ws("|", "requirement_id", F.lit("link")), 256).alias("id"), "requirement_id", "run_id", "case_id", F.coalesce("decision", F.lit("unclear")).alias("decision"),
         F.coalesce("obligation", F.lit("qualification")).alias("obligation"), "rationale", "evidence_quote", "evidence_chunk_id", "evidence_filename", "evidence_page", "evidence_clause",
     )
     return req, link
 
 
 def save(tables: dict[str, DataFrame], path: str, partition: dict[str, list[str]] | None = None) -> None:
+    """Writes whole tables under path in place of what stood there."""
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         by = (partition or {}).get(name)
         (w.partitionBy(*by) if by else w).parquet(f"{path}/{name}")
 
 
+def save_cases(tables: dict[str, DataFrame], cases: DataFrame, path: str) -> None:
+    """SNK1 for the cases at hand: their rows replace those of earlier runs, and other cases' rows stay as they are.
+
+    Tables are partitioned by case_id and only the partitions at hand are overwritten. Each case at hand gets a row of nulls
+    besides its own, so that a case without rows replaces its old ones too; stored() leaves it out. A write that runs again
+    leaves the same rows, as their ids are made from what they hold.
+    """
+    for name, df in tables.items():
+        marks = cases.select("case_id").distinct().select("case_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "case_id"])
+        rows = df.select("case_id", *[c for c in df.columns if c != "case_id"]).unionByName(marks)
+        rows.repartition("case_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(f"{path}/{name}")
+
+
+def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of a table that save_cases() wrote."""
+    return spark.read.parquet(f"{path}/{name}").where("id is not null")
+
+
 def verification(claims: DataFrame, failures: DataFrame) -> DataFrame:
     """(case_id, verification): for each case how many claims there were, how many were unsupported, and these by stage."""
     n = claims.where("quote <> ''").groupBy("case_id").agg(F.count("*").alias("claims"))

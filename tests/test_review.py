@@ -320,3 +320,53 @@ def test_searches_of_many_blocks_against_brute_force(spark, monkeypatch):
                 want |= {(corpus, i, x[1], n, round(s, 6) + 0.0) for n, (s, x) in enumerate(ranked[:4], 1)}
             got = {(r.corpus, r.query_id, r.chunk_id, r["rank"], round(r.score, 6) + 0.0) for r in top(q, c, 4, pad).collect()}
             assert got == want, (name, pad)
+
+
+def test_saving_cases_replaces_them_alone(spark, tmp_path):
+    from packreview.sources import packs
+
+    rows = lambda xs: spark.createDataFrame(xs, "case_id int, id string, text string")
+    cases = lambda *xs: spark.createDataFrame([(x,) for x in xs], "case_id int")
+    read = lambda: sorted((r.case_id, r.id, r.text) for r in packs.stored(spark, str(tmp_path), "t").collect())
+    packs.save_cases({"t": rows([(1, "a", "x"), (1, "b", None), (2, "c", "y"), (3, "d", "z")])}, cases(1, 2, 3, 4), str(tmp_path))
+    assert read() == [(1, "a", "x"), (1, "b", None), (2, "c", "y"), (3, "d", "z")]
+    for _ in range(2):
+        packs.save_cases({"t": rows([(1, "e", "new"), (4, "f", "w")])}, cases(1, 2, 4, 4), str(tmp_path))
+        assert read() == [(1, "e", "new"), (3, "d", "z"), (4, "f", "w")]
+
+
+def test_a_pack_that_comes_again_is_taken_once(spark, tmp_path):
+    from packreview.streaming.packs import stream_packs
+
+    lines = ["The bidder shall have average annual turnover of at least Rs. 5,00,000 in three years.", "A bank solvency certificate of 40 lakh must be submitted by the bidder."]
+
+    def arrive(name: str, text: str) -> None:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+
+    def run() -> list:
+        stream_packs(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        return sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    arrive("a.txt", lines[0])
+    arrive("x/again.txt", lines[0])
+    assert run() == [lines[0]]
+    arrive("b.txt", "\n".join(lines))
+    arrive("c.txt", lines[0])
+    assert run() == sorted([lines[0], *lines])
+    commits = sorted((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run() == run() == sorted([lines[0], *lines])
+
+
+def test_model_decisions_without_items_or_words(spark):
+    from packreview.operators import decide
+
+    rows = spark.createDataFrame([("b", 1, "met", "qualification", "rule", "q", "c", 1, "f", "2.1"), ("c", 1, "met", "qualification", "rule", "q", "c", 1, "f", "2.1")], "batch_id string, n int, decision string, obligation string, rationale string, evidence_quote string, evidence_chunk_id string, evidence_page int, evidence_filename string, evidence_clause string")
+    item = "array<struct<id:string,decision:string,obligation:string,evidence_span:string,rationale:string>>"
+    replies = spark.createDataFrame([("b", None), ("c", [("1", "Not-Met", "", "e1", "")])], f"batch_id string, items {item}")
+    menu = spark.createDataFrame([("c", 1, "E1", "span", "k", 4, "g", None)], "batch_id string, n int, span_id string, text string, chunk_id string, page int, filename string, clause string")
+    got = {r.batch_id: r for r in decide.merge_model_decisions(rows, replies, menu).collect()}
+    assert (got["b"].decision, got["b"].evidence_quote, got["b"].evidence_filename, got["b"].rationale) == ("unclear", None, None, "rule")
+    assert (got["c"].decision, got["c"].obligation, got["c"].rationale, got["c"].evidence_filename, got["c"].evidence_clause, got["c"].evidence_page) == ("not_met", "qualification", "rule", "g", None, 4)
