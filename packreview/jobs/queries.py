@@ -344,44 +344,6 @@ def dec2_rules(s, d):
     return extract.requirements(tender(s, d)).groupBy(decide.rule_of(F.col("text")).alias("rule")).agg(F.count("*").alias("n"))
 
 
-_MATRIX = f"""
-WITH req AS (SELECT case_id, text, {_RULE} AS rule,
-   CASE WHEN contains(low, 'lakh') THEN CAST(regexp_extract(low, '([0-9]+) lakh', 1) AS BIGINT) * 100000 ELSE CAST(nullif(regexp_extract(low, 'rs\\. ([0-9]+)', 1), '') AS BIGINT) END AS need,
-   CAST(nullif(regexp_extract(low, 'completed ([0-9]) similar', 1), '') AS INT) AS cnt FROM {_REQ}),
-ev AS (SELECT case_id, lower(text) AS low, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS rank, CAST(nullif(regexp_extract(text, 'Rs\\. ([0-9]+)', 1), '') AS BIGINT) AS amount FROM ({_COMPANY})),
-j AS (SELECT r.*, e.rank, e.amount, e.low AS elow FROM req r LEFT JOIN ev e ON e.case_id = r.case_id AND e.rank <= 8 AND (
-   (rule = 'turnover' AND contains(e.low, 'turnover')) OR (rule = 'solvency' AND contains(e.low, 'solvency')) OR (rule = 'gst' AND contains(e.low, 'goods and services tax'))
-   OR (rule = 'blacklist' AND contains(e.low, 'blacklisted')) OR (rule = 'emd' AND contains(e.low, 'demand draft')) OR (rule = 'similar' AND contains(e.low, 'civil work')))),
-b AS (SELECT case_id, text, rule, any_value(need) AS need, any_value(cnt) AS cnt, min(rank) AS rank, arg_min(amount, rank) AS amount, arg_min(elow, rank) AS elow, count(rank) FILTER (amount >= need) AS good FROM j GROUP BY case_id, text, rule),
-m AS (SELECT case_id, text, CASE WHEN rank IS NULL THEN 'missing' WHEN rule IN ('turnover', 'solvency') THEN CASE WHEN amount >= need THEN 'met' ELSE 'not_met' END
-   WHEN rule = 'similar' THEN CASE WHEN good >= cnt THEN 'met' ELSE 'not_met' END WHEN rule = 'blacklist' THEN CASE WHEN contains(elow, 'never been blacklisted') THEN 'met' ELSE 'not_met' END ELSE 'met' END AS decision,
-   CASE WHEN rule = 'emd' THEN 'submission' ELSE 'qualification' END AS obligation FROM b)"""
-
-
-def _decided(s, d) -> DataFrame:
-    """The matrix where a case's evidence is its first eight company chunks in order, as in the SQL; _searched() has the whole job."""
-    req = extract.requirements(tender(s, d)).withColumn("req_id", F.col("ord"))
-    top = extract.with_optional(company(s, d)).withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("pos"))).where("rank <= 8")
-    hits = req.select("case_id", "req_id").join(top, "case_id").select("case_id", "req_id", "rank", "chunk_id", "text", "page", "clause", "filename")
-    return decide.matrix(req, hits)
-
-
-@query(_MATRIX + " SELECT case_id, text, decision, obligation FROM m")
-def dec9_matrix(s, d):
-    return _decided(s, d).select("case_id", "text", "decision", "obligation")
-
-
-@query(_MATRIX + """ SELECT n.case_id, CASE WHEN bool_or(decision = 'not_met' OR (decision = 'missing' AND obligation = 'qualification')) THEN 'NO-GO'
- WHEN coalesce(bool_or(decision <> 'met'), true) THEN 'CONDITIONAL' ELSE 'GO' END AS go_no_go FROM (SELECT CAST(n_nationkey AS INT) AS case_id FROM nation) n LEFT JOIN m ON m.case_id = n.case_id GROUP BY n.case_id""")
-def dec10_go_no_go(s, d):
-    return decide.go_no_go(table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("case_id")), _decided(s, d))
-
-
-@query(_MATRIX + """ SELECT case_id, count(*) AS n, count(*) FILTER (decision = 'met') AS met, count(*) FILTER (decision = 'not_met') AS not_met, count(*) FILTER (decision = 'missing') AS missing, count(*) FILTER (decision = 'unclear') AS unclear FROM m GROUP BY case_id""")
-def dec11_counts(s, d):
-    return decide.decision_counts(_decided(s, d)).drop("summary")
-
-
 def _searched(s, d) -> DataFrame:
     """The matrix where each requirement's evidence is what a search for it finds among all company chunks of its case."""
     req = materialise(extract.requirements(tender(s, d)).withColumn("req_id", F.col("ord")), "requirements")
@@ -390,7 +352,8 @@ def _searched(s, d) -> DataFrame:
 
 @query()
 def dec9_matrix_searched(s, d):
-    return _searched(s, d).select("case_id", "req_id", "text", "decision", "obligation", "rationale", "evidence_chunk_id")
+    """With DEC1's quote: the sentence that the decision rests on."""
+    return _searched(s, d).select("case_id", "req_id", "text", "decision", "obligation", "rationale", "evidence_chunk_id", "evidence_quote", "evidence_page", "evidence_clause")
 
 
 @query()

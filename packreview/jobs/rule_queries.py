@@ -120,7 +120,9 @@ _GO = """SELECT n.case_id, CASE WHEN bool_or(decision = 'not_met' OR (decision =
  WHEN coalesce(bool_or(decision <> 'met'), true) THEN 'CONDITIONAL' ELSE 'GO' END AS go_no_go FROM (SELECT CAST(n_nationkey AS INT) AS case_id FROM nation) n LEFT JOIN m ON m.case_id = n.case_id GROUP BY n.case_id"""
 _COUNTS = """SELECT *, CAST(n AS VARCHAR) || ' requirement(s): ' || met || ' met, ' || not_met || ' not met, ' || missing || ' missing, ' || unclear || ' unclear.' AS summary FROM (
  SELECT case_id, count(*) AS n, count(*) FILTER (decision = 'met') AS met, count(*) FILTER (decision = 'not_met') AS not_met, count(*) FILTER (decision = 'missing') AS missing, count(*) FILTER (decision = 'unclear') AS unclear FROM m GROUP BY case_id)"""
-Q.ORACLE["dec9_matrix_searched"] = f"{_SEARCHED} SELECT {_COLUMNS} FROM m"
+_QUOTE = "CASE WHEN contains(e.text, ' Status:') THEN left(e.text, position(' Status:' IN e.text) - 1) ELSE e.text END"
+Q.ORACLE["dec9_matrix_searched"] = f"""{_SEARCHED} SELECT m.case_id, req_id, m.text, decision, obligation, rationale, evidence_chunk_id, {_QUOTE} AS evidence_quote, CAST(NULL AS INT) AS evidence_page, CAST(NULL AS VARCHAR) AS evidence_clause
+ FROM m LEFT JOIN ({Q._COMPANY}) e ON e.case_id = m.case_id AND e.chunk_id = m.evidence_chunk_id"""
 Q.ORACLE["dec10_go_no_go_searched"] = f"{_SEARCHED} {_GO}"
 Q.ORACLE["dec11_counts_searched"] = f"{_SEARCHED} {_COUNTS}"
 
