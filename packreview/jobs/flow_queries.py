@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from packreview.jobs import chunk_sql, ingest, review
 from packreview.jobs import more_queries as M
 from packreview.jobs import queries as Q
 from packreview.jobs import search_sql as S
@@ -311,3 +312,50 @@ def evl2_all_modes(s, d):
         hits = one if hits is None else hits.unionByName(one)
     out = evaluate.retrieval_scores(hits, rel)
     return out.select("mode", "queries", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "mrr")])
+
+
+# -- jobs over files and replies -----------------------------------------------------------------------------------------
+
+
+@Q.query(f"""WITH x AS ({chunk_sql.chunks(f"SELECT case_id * 1000 + part AS doc_id, '' AS source, body AS text FROM ({_PACKS})")})
+SELECT CAST(pos // 2147483648 // 1000 AS INT) AS case_id, CAST(pos // 2147483648 % 1000 AS INT) AS part, n, page, clause, section, text FROM x""")
+def flow_ingest(s, d):
+    """Files of every case and role to chunks; what no reader takes is rejected."""
+    path, rows = fresh_path(s, "case-files"), _packs(s, d)
+    named = rows.select("case_id", F.lit("tender").alias("role"), "part", F.col("body").alias("value"))
+    named.write.partitionBy("case_id", "role", "part").text(path)
+    rows.where("case_id = 1").write.mode("append").partitionBy("case_id").json(path)
+    got = ingest.ingest(s, path)
+    place = got["chunks"].join(got["documents"].select("document_id", "page_count"), "document_id")
+    pages = packs.text_documents(s, path)[0].select("document_id", F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int").alias("part"))
+    return place.where("page_count = 1").join(pages, "document_id").select("case_id", "part", "n", "page", "clause", "section", "text")
+
+
+@Q.query(f"""WITH RECURSIVE menu AS ({_MENU}), asked AS (SELECT *, max(n) OVER (PARTITION BY case_id) AS size FROM menu),
+i AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n) AS k, left(lower(text), 240) AS key FROM asked WHERE case_id % 3 = 0 OR (case_id % 3 = 1 AND n < size)),
+step(case_id, k, kept, stays) AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false FROM i
+ UNION ALL SELECT case_id, k, CASE WHEN fresh THEN list_append(kept, key) ELSE kept END, fresh FROM (
+  SELECT s.case_id, i.k, kept, key, len(list_filter(kept, lambda x: contains(x, key) OR contains(key, x))) = 0 AS fresh FROM step s JOIN i ON i.case_id = s.case_id AND i.k = s.k + 1))
+SELECT i.case_id, CAST(n - 1 AS INT) AS item_id, 'financial' AS kind, text, text AS quote, chunk_id, page FROM i JOIN step s ON s.case_id = i.case_id AND s.k = i.k WHERE stays""")
+def flow_model_requirements(s, d):
+    """Replies to the span menus: whole ones, ones that break off in their last item, and ones without an object."""
+    t = Q.tender(s, d)
+    item = F.struct(F.concat(F.lit(" "), F.lower("span_id")).alias("span_id"), F.lit("financial").alias("kind"), F.lit("short").alias("text"))
+    rows = extract.span_menu(t).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))), lambda y: y["x"]).alias("requirements"))
+    rows = rows.withColumn("w", F.to_json(F.struct("requirements")))
+    reply = F.when(F.col("case_id") % 3 == 0, F.col("w")).when(F.col("case_id") % 3 == 1, F.expr("left(w, length(w) - 9)")).otherwise(F.lit("I see none."))
+    got = ingest.model_requirements(t, rows.select("case_id", reply.alias("reply")))
+    return got.select("case_id", "item_id", "kind", "text", "quote", "chunk_id", "page")
+
+
+_RQ = " UNION ALL ".join(f"SELECT CAST(case_id AS VARCHAR) AS corpus, {i} AS query_id, '{q}' AS text FROM large GROUP BY case_id" for i, q in enumerate(review.RISK_QUERIES))
+
+
+@Q.query(f"""WITH t AS ({M._SEC}), large AS (SELECT * FROM t WHERE case_id IN (SELECT case_id FROM t GROUP BY case_id HAVING count(*) > 60)),
+{S.hybrid_rerank(_RQ, "SELECT CAST(case_id AS VARCHAR) AS corpus, chunk_id, pos, text FROM large", 10)}
+SELECT case_id, chunk_id FROM t WHERE case_id NOT IN (SELECT case_id FROM large) UNION ALL SELECT case_id, chunk_id FROM large
+ WHERE (CAST(case_id AS VARCHAR), chunk_id) IN (SELECT corpus, chunk_id FROM rr) OR regexp_matches(lower(coalesce(section, '') || ' ' || substr(text, 1, 120)), 'eligibility|qualification|earnest')""")
+def ext6_risk_window(s, d):
+    """Cases of more than 60 chunks are searched, smaller ones are read whole."""
+    chunks, _ = M._sectioned(s, d)
+    return review.risk_window(chunks, 60).select("case_id", "chunk_id")

@@ -21,15 +21,51 @@ def evidence_hits(requirements: DataFrame, company: DataFrame, k: int = HITS, mo
     return hits.join(cite, ["corpus", "chunk_id"]).select("case_id", "req_id", "rank", "chunk_id", "text", "page", "clause", "filename")
 
 
-def review(cases: DataFrame, tender: DataFrame, company: DataFrame, policy: str = "v1", mode: str = "hybrid_rerank") -> dict[str, DataFrame]:
+#: What the chunks that speak of risks and dates are searched by, and chunks of a case up to which all are read.
+RISK_QUERIES = ("penalty liquidated damages earnest money forfeiture", "pre-bid meeting bid submission opening date")
+SCAN_ALL, RISK_HITS = 80, 10
+
+
+def fixed_hits(chunks: DataFrame, texts: tuple[str, ...], k: int) -> DataFrame:
+    """(case_id, query_id, chunk_id, rank) of the same numbered queries in every case of chunks."""
+    listed = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("text")) for i, t in enumerate(texts)])
+    corpora = chunks.select(F.col("case_id").cast("string").alias("corpus"), "chunk_id", "pos", "text")
+    queries = corpora.select("corpus").distinct().select("corpus", F.explode(listed).alias("q")).select("corpus", "q.*")
+    hits = retrieval.search(materialise(queries, "queries"), corpora, k, "hybrid_rerank", True)
+    return hits.select(F.col("corpus").cast(chunks.schema["case_id"].dataType).alias("case_id"), "query_id", "chunk_id", "rank")
+
+
+def risk_window(tender: DataFrame, scan_all: int = SCAN_ALL, k: int = RISK_HITS) -> DataFrame:
+    """EXT6 in the job: the chunks that risks and deadlines are read from, in a case of up to scan_all chunks all of them, else
+    those that the risk queries find or whose heading names the matter."""
+    size = tender.groupBy("case_id").agg(F.count("*").alias("__size"))
+    large = materialise(tender.join(size.where(F.col("__size") > scan_all), "case_id", "left_semi"), "large-cases")
+    chosen = extract.candidate_chunks(fixed_hits(large, RISK_QUERIES, k), large).select("case_id", "chunk_id")
+    small = tender.join(size.where(F.col("__size") <= scan_all), "case_id", "left_semi")
+    return small.unionByName(large.join(chosen, ["case_id", "chunk_id"], "left_semi").select(*tender.columns))
+
+
+def sampled_menu(tender: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """EXT8's span menu of each case, of all its chunks or of EXT7's section sample in its order."""
+    if hits is None:
+        return extract.span_menu(tender)
+    sample = extract.section_sample(hits, tender)
+    return extract.span_menu(tender.join(sample, ["case_id", "chunk_id"]).withColumn("pos", F.col("ord").cast("long")).drop("ord"))
+
+
+def review(
+    cases: DataFrame, tender: DataFrame, company: DataFrame, policy: str = "v1", mode: str = "hybrid_rerank", scan_all: int | None = None
+) -> dict[str, DataFrame]:
     """requirements, matrix, risks, deadlines, letter, failures, go_no_go, counts and letters of every case(case_id, title).
 
-    Requirements, hits and the matrix are read several times below, so each is written once to the shared folder.
+    Requirements, hits and the matrix are read several times below, so each is written once to the shared folder. With
+    scan_all, risks and deadlines of larger cases come from their risk_window().
     """
     req = materialise(extract.requirements(tender, policy).withColumn("req_id", F.col("ord")), "requirements")
     hits = materialise(evidence_hits(req, company, mode=mode), "hits")
     matrix = materialise(decide.matrix(req, hits, extract.estimated_cost(tender)), "matrix")
-    risks, dates = extract.risks(tender), extract.deadlines(tender)
+    window = tender if scan_all is None else materialise(risk_window(tender, scan_all), "window")
+    risks, dates = extract.risks(window), extract.deadlines(window)
     letter = verify.letter_queries(matrix, dates)
     both = tender.select("case_id", "chunk_id", "text").unionByName(company.select("case_id", "chunk_id", "text"))
     claims = verify.claims(req, matrix, risks, dates, letter)

@@ -106,8 +106,9 @@ def hash_vector_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = F
     cuts = materialise(_cut(chunks, "chunk_id", CHUNK_BLOCK, "cbs").join(_cut(_asked(queries), "query_id", QUERY_BLOCK, "qbs"), "corpus"), "cuts")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    c = c.join(cuts, "corpus").select("corpus", own("chunk_id", "cbs").alias("cb"), each("qbs").alias("qb"), "chunk_id", "pos", "codes")
-    q = q.join(cuts, "corpus").select("corpus", each("cbs").alias("cb"), own("query_id", "qbs").alias("qb"), "query_id", "codes")
+    # named apart, as queries and chunks may come from one table
+    c = c.join(cuts, "corpus").select(F.col("corpus").alias("cc"), own("chunk_id", "cbs").alias("ccb"), each("qbs").alias("cqb"), "chunk_id", "pos", "codes")
+    q = q.join(cuts, "corpus").select(F.col("corpus").alias("qc"), each("cbs").alias("qcb"), own("query_id", "qbs").alias("qqb"), "query_id", "codes")
     fields = [chunks.schema["corpus"], queries.schema["query_id"], chunks.schema["chunk_id"], chunks.schema["pos"], StructField("score", DoubleType())]
 
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -127,8 +128,7 @@ def hash_vector_top(queries: DataFrame, chunks: DataFrame, k: int, pad: bool = F
         out = {"corpus": pa.repeat(key[0], len(row)), "query_id": right.column("query_id").take(pa.array(row)), "chunk_id": left.column("chunk_id").take(pa.array(col)), "pos": left.column("pos").take(pa.array(col))}
         return pa.table(out | {"score": pa.array(np.concatenate([np.zeros(0), *scores]))})
 
-    at = ["corpus", "cb", "qb"]
-    found = c.groupBy(*at).cogroup(q.groupBy(*at)).applyInArrow(best, StructType(fields))
+    found = c.groupBy("cc", "ccb", "cqb").cogroup(q.groupBy("qc", "qcb", "qqb")).applyInArrow(best, StructType(fields))
     return _top(found, k).drop("pos")
 
 
