@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from packreview.functions import text as T
 from packreview.jobs import chunk_sql, ingest, review
 from packreview.jobs import more_queries as M
 from packreview.jobs import queries as Q
@@ -359,3 +360,30 @@ def ext6_risk_window(s, d):
     """Cases of more than 60 chunks are searched, smaller ones are read whole."""
     chunks, _ = M._sectioned(s, d)
     return review.risk_window(chunks, 60).select("case_id", "chunk_id")
+
+
+# -- works and domains ---------------------------------------------------------------------------------------------------
+
+_WORKS = """SELECT c_custkey AS k, 'The bidder should have completed 3 (three) similar civil works each of value not less than Rs. ' || CAST(c_custkey * 10 + 1000 AS {s}) || ', or TWO similar building works of at least ' || CAST(c_custkey % 40 + 1 AS {s}) || ' lakh, or ' ||
+ CASE c_custkey % 4 WHEN 0 THEN 'one similar work costing at least 2.5 crore.' WHEN 1 THEN '5 similar works of not less than Rs. 100.' WHEN 2 THEN 'one' || chr(10) || 'similar road works of value at least Rs. 1,00,000 each.' ELSE 'nothing else.' END AS text FROM {t}"""
+
+
+@Q.query(f"""SELECT k, 0 AS i, 3 AS works, k * 10 + 1000 AS amount FROM ({_WORKS.format(s='VARCHAR', t='customer')}) UNION ALL SELECT k, 1, 2, (k % 40 + 1) * 100000 FROM ({_WORKS.format(s='VARCHAR', t='customer')})
+UNION ALL SELECT k, 2, 1, CASE k % 4 WHEN 0 THEN 25000000 ELSE 100000 END FROM ({_WORKS.format(s='VARCHAR', t='customer')}) WHERE k % 4 IN (0, 2)""")
+def txt16_alternatives(s, d):
+    """Two or three alternatives a text, in figures, words, lakh and crore, and one whose count is none of those known."""
+    rows = s.sql(_WORKS.format(s="STRING", t="{t}"), t=Q.table(s, d, "customer"))
+    return rows.select("k", F.posexplode(T.alternatives(F.col("text"))).alias("i", "x")).select("k", "i", F.col("x.count").alias("works"), F.col("x.amount").alias("amount"))
+
+
+_DOMAIN = "CASE {n} WHEN 0 THEN 'civil' WHEN 1 THEN 'Security' WHEN 2 THEN 'forensic' WHEN 3 THEN 'INTERIOR' WHEN 4 THEN 'software' WHEN 5 THEN 'ambulance' WHEN 6 THEN 'construction' ELSE 'gardening' END"
+_DOMAINS = f"SELECT c_custkey AS k, 'Similar ' || {_DOMAIN.format(n='c_custkey % 9')} || ' and ' || {_DOMAIN.format(n='c_custkey % 11')} || ' works' AS need, 'Completed ' || {_DOMAIN.format(n='c_custkey % 8')} || ' work, ' || {_DOMAIN.format(n='c_custkey % 13')} AS seen FROM {{t}}"
+_ASKED = " OR ".join(f"contains(lower(need), '{x}')" for x in T.DOMAINS)
+_MET = " OR ".join(f"(contains(lower(need), '{x}') AND contains(lower(seen), '{x}'))" for x in T.DOMAINS)
+
+
+@Q.query(f"SELECT k, NOT ({_ASKED}) OR {_MET} AS ok FROM ({_DOMAINS.format(t='customer')})")
+def txt17_domains(s, d):
+    """None, one or two domains asked for, and none, one or two in the evidence."""
+    rows = s.sql(_DOMAINS, t=Q.table(s, d, "customer"))
+    return rows.select("k", T.domain_ok(F.col("need"), F.col("seen")).alias("ok"))
