@@ -110,3 +110,29 @@ def test_one_id_fills_no_bucket(spark, text):
     for r in got:
         sizes[r.shard, r.bucket] = sizes.get((r.shard, r.bucket), 0) + 100
     assert max(sizes.values()) <= 1.8 * limit, sizes
+
+
+@pytest.mark.parametrize(("parts", "hubs"), [(64, 16), (1, 1)])
+def test_a_large_group_of_near_copies_against_all_pairs(spark, monkeypatch, parts, hubs):
+    """Copies of one text with changed words, about as many pairs under the threshold as over it."""
+    from packreview.llm import minhash as M
+
+    monkeypatch.setattr(M, "PARTS", parts)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 4, 5, 6])):
+            w[rng.randrange(120)] = rng.choice(["x", "y", f"own{i}"])
+        rows.append((i, " ".join(w), "en", "s", 0))
+    sets = [{tuple(t.split()[a : a + 3]) for a in range(118)} for _, t, *_ in rows]
+    low = list(range(90))
+    for _ in range(90):
+        for a in range(90):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and low[a] != low[b]:
+                    low[a] = low[b] = min(low[a], low[b])
+    found = M.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5), M.NearDup(hubs=hubs))
+    got = {r.id: r.component for r in found.collect()}
+    assert got == dict(enumerate(low)) and 3 < len(set(low)) < 80
