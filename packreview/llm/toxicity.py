@@ -144,6 +144,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     SAMPLE_CHARS are not learned from, so the sample is bounded in bytes too."""
     lab = rated(labels, label).groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)))
+    # of a large class only so many of the least hashes as hold twice the sample are put in order
+    share = 2.0 * per_class / F.count("*")
+    bound = F.when(share < 0.9, (-(2.0**63) + share * 2.0**64).cast("long")).otherwise(F.lit(2**63 - 1))
+    lab = lab.join(lab.groupBy("y").agg(bound.alias("bound")), "y").where(F.col("h") <= F.col("bound"))
     place = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
     # written, so that Spark knows how small it is: per_class rows for each class
     some = materialise(lab.withColumn("place", place).where(F.col("place") <= per_class).select("doc_id", "y"), "sample")

@@ -136,3 +136,13 @@ def test_a_large_group_of_near_copies_against_all_pairs(spark, monkeypatch, part
     found = M.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5), M.NearDup(hubs=hubs))
     got = {r.id: r.component for r in found.collect()}
     assert got == dict(enumerate(low)) and 3 < len(set(low)) < 80
+
+
+def test_the_sample_is_that_of_the_least_hashes(spark):
+    from packreview.llm import toxicity as X
+
+    labels = spark.range(60_000).selectExpr("id as doc_id", "cast(id % 50 = 0 as int) as toxic")
+    got = X.training_sample(labels.selectExpr("doc_id", "'t' as text"), labels, "toxic", 200).collect()
+    rows = X.rated(labels, "toxic").select("doc_id", "y", X.F.xxhash64(X.F.col("doc_id").cast("string"), X.F.lit(11)).alias("h")).collect()
+    want = [r.doc_id for y in (0, 1) for r in sorted((r for r in rows if r.y == y), key=lambda r: (r.h, r.doc_id))[:200]]
+    assert sorted(int(r.key) for r in got) == sorted(want)
