@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from packreview.llm.common import fresh_path, materialise, reach_workers, table
 
 #: Bytes of a bucket, which one task shuffles in memory at a time, and how many buckets a task of the shuffle takes.
-SHARDS, SEED, BUCKET_BYTES, PER_TASK = 8, 17, 48 << 20, 4
+SHARDS, SEED, BUCKET_BYTES, PER_TASK = 8, 17, 16 << 20, 4
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
