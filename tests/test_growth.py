@@ -30,3 +30,11 @@ def test_scores_too_large_for_one_whole_number_and_unshared_pairs():
         assert {(int(r), int(c)) for r, c in zip(row, col)} == {(0, 1), (0, 2), (1, 2), (1, 3)}
         row, col = retrieval._best(scores * by, scores != 3.0, 3)
         assert {(int(r), int(c)) for r, c in zip(row, col)} == {(0, 0), (0, 3), (1, 0), (1, 2), (1, 3)}
+
+
+def test_a_plain_table_is_as_large_as_its_rows(spark):
+    from packreview.sources.scratch import materialise
+
+    rows = spark.range(200_000).selectExpr("id % 3 as k", "'the bidder must hold a valid licence' as text")
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(materialise(rows, "rows")) < 1_000_000 < 8_000_000 < size(materialise(rows, "rows", plain=True))
