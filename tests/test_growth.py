@@ -62,3 +62,15 @@ def test_dense_search_takes_many_queries_in_slices(spark, monkeypatch):
     monkeypatch.setattr(type(v), "mapInPandas", lambda df, run, schema: (list(run(iter([df.toPandas()]))), df.selectExpr("id as query_id", "id", "0d as score"))[1])
     retrieval.dense_top(v.withColumnRenamed("id", "query_id"), v, 3)
     assert sum(sizes) == 600 and max(sizes) <= retrieval.SLICE
+
+
+def test_equal_quotes_and_texts_meet_once(spark):
+    from packreview.operators import extract
+
+    text = "the bidder shall not have been blacklisted by any department"
+    chunks = spark.range(600).selectExpr("1 as case_id", "concat('c', id) as chunk_id", "id + 5 as pos", f"if(id % 2 = 0, '{text}', concat('{text} of lot ', id % 4)) as text")
+    claims = spark.range(500).selectExpr("1 as case_id", "id as claim_id", f"if(id % 2 = 0, '{text}', 'not have been blacklisted by any department of lot 3') as quote", "'none' as chunk_id")
+    before = shuffled_rows(spark)
+    got = {(r.claim_id % 2, r.found_chunk) for r in extract.chunk_of_quote(claims, chunks).collect()}
+    assert got == {(0, "c0"), (1, "c3")}
+    assert shuffled_rows(spark) - before < 30_000  # 300,000 pairs
