@@ -74,3 +74,19 @@ def test_equal_quotes_and_texts_meet_once(spark):
     got = {(r.claim_id % 2, r.found_chunk) for r in extract.chunk_of_quote(claims, chunks).collect()}
     assert got == {(0, "c0"), (1, "c3")}
     assert shuffled_rows(spark) - before < 30_000  # 300,000 pairs
+
+
+def test_reranking_compares_pairs_by_matrices_and_broadcasts_no_texts(spark):
+    from pyspark.sql import functions as F
+
+    from packreview.functions import text as T
+
+    texts = ["a valid licence of class 7", "A  valid\tLICENCE", "", "ab", "\U0001f600\U0001f600\U0001f601 ok ok ok", "x" * 1999 + "yz valid licence", None, "valid licence of the firm"]
+    chunks = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "corpus string, chunk_id int, text string")
+    queries = chunks.select("corpus", F.col("chunk_id").alias("query_id"), "text")
+    pool = queries.crossJoin(chunks.select("chunk_id")).withColumn("rank", F.col("chunk_id") + 1)
+    score = lambda q, t: F.round(T.trigram_jaccard(q, t), 12)
+    got = retrieval.rerank(pool, queries, chunks, 5)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 12)) for r in df.collect())
+    assert rows(got) == rows(retrieval.rerank(pool, queries, chunks, 5, scorer=score)) and len(rows(got)) == 40
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
