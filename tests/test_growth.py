@@ -90,3 +90,15 @@ def test_reranking_compares_pairs_by_matrices_and_broadcasts_no_texts(spark):
     rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 12)) for r in df.collect())
     assert rows(got) == rows(retrieval.rerank(pool, queries, chunks, 5, scorer=score)) and len(rows(got)) == 40
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_is_cited_without_a_broadcast_of_the_texts(spark):
+    import re
+
+    from packreview.jobs import review
+
+    company = spark.range(40).selectExpr("1 as case_id", "concat('c', id) as chunk_id", "id as pos", "concat('a solvency certificate of class ', id) as text")
+    req = spark.range(3).selectExpr("1 as case_id", "id as req_id", "concat('a certificate of class ', id) as text")
+    hits = review.evidence_hits(req, company, 2, "bm25")
+    assert re.search(r"SortMergeJoin \[corpus#\d+, chunk_id#\d+\]", hits._jdf.queryExecution().executedPlan().toString())
+    assert {(r.req_id, r.chunk_id) for r in hits.where("rank = 1").collect()} == {(0, "c0"), (1, "c1"), (2, "c2")}
