@@ -370,3 +370,12 @@ def test_model_decisions_without_items_or_words(spark):
     got = {r.batch_id: r for r in decide.merge_model_decisions(rows, replies, menu).collect()}
     assert (got["b"].decision, got["b"].evidence_quote, got["b"].evidence_filename, got["b"].rationale) == ("unclear", None, None, "rule")
     assert (got["c"].decision, got["c"].obligation, got["c"].rationale, got["c"].evidence_filename, got["c"].evidence_clause, got["c"].evidence_page) == ("not_met", "qualification", "rule", "g", None, 4)
+
+
+def test_headings_of_lines_in_capitals_keep_their_length(spark, tmp_path):
+    from packreview.jobs import more_queries
+
+    line = "straße und weg nach groß dorf mit " + "a" * 56  # 90 characters, 92 with SS for each sharp s
+    assert len(line) == 90
+    spark.createDataFrame([(0, line + "\nß\nᾀﬁx y"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in more_queries.chk3_headings(spark, str(tmp_path)).collect()] == [(0, 3, 1)]
