@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from packreview.functions import text as T
 from packreview.operators.extract import PLAN_QUERIES
-from packreview.sources.scratch import reach_workers
+from packreview.sources.scratch import reach_workers, small_batches
 
 OCR_MIN = 40
 #: Characters: a chunk takes no further line beyond TARGET, ends at HARD_MAX, and hands a last line under CARRY on.
@@ -138,6 +138,7 @@ def chunk_texts(docs: DataFrame, keep: tuple[str, ...] = ("case_id", "role", "fi
 
 def _chunked(one: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     reach_workers(one.sparkSession)
+    small_batches(one.sparkSession)
     runs = F.pandas_udf(_runs, "array<struct<first:int,lines:int>>")
     ranges = F.pandas_udf(_ranges, "array<struct<first:int,runs:int,heading:int,number:int>>")
     rows = one.select("document_id", "ordinal", *keep, lines_of(F.col("pages")).alias("lines"))
@@ -150,7 +151,9 @@ def _chunked(one: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     run = lambda r: T.let(part(r), lambda x: F.struct(x[0]["page"].alias("page"), F.array_join(x["text"], " ").alias("text")))
     rows = rows.withColumn("lines", F.transform("runs", run))
     flat = T.whitespace_norm
-    rows = rows.withColumn("heads", of(lambda t: T.let(flat(t), lambda x: F.struct(T.is_heading(x).alias("title"), T.clause_number(x).alias("number")))))
+    # a longer run can be a heading only where white space joins up; the number is the same in a run as in its folded text
+    title = lambda t: F.when((F.length(t) <= T.HEADING_MAX) | t.rlike(r"(?U)\s\s"), T.let(flat(t), T.is_heading)).otherwise(F.lit(False))
+    rows = rows.withColumn("heads", of(lambda t: F.struct(title(t).alias("title"), T.clause_number(t, True).alias("number"))))
     rows = rows.withColumn("cuts", ranges(F.col("lines.page"), of(F.length), F.col("heads.title"), F.transform("heads", lambda x: x["number"].isNotNull())))
 
     def chunk(c: Column) -> Column:

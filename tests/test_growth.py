@@ -114,3 +114,20 @@ def test_a_review_reads_risks_and_deadlines_from_the_text_once(spark):
     assert (out["risks"].count(), out["deadlines"].count(), out["failures"].count()) == (6, 6, 0)
     for name in ("risks", "deadlines", "failures"):
         assert "Generate" not in out[name]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunking_takes_small_batches_and_folds_as_before(spark):
+    from pyspark.sql import functions as F
+
+    from packreview.functions import text as T
+    from packreview.operators import chunking
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    docs = spark.sql("select '1' as document_id, 0 as ordinal, 0 as case_id, 'tender' as role, 'x' as filename")
+    docs = docs.withColumn("text", F.lit("PART  ONE  TWO\n　the text  "))
+    assert [(r.section, r.text) for r in chunking.chunk_texts(docs).collect()] == [("PART ONE TWO", "the text")]
+    assert spark.conf.get(name) == "512"
+    odd = spark.range(0x3100).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    x = F.concat("c", F.lit("a b"), "c", F.lit("c"), "c")
+    assert odd.where(T.strip(x) != F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).count() == 0
