@@ -103,11 +103,11 @@ def _runs(page: pd.Series, opens: pd.Series, ends: pd.Series, traits: pd.Series)
     return pd.Series(out)
 
 
-def _ranges(page: pd.Series, size: pd.Series, title: pd.Series, numbered: pd.Series) -> pd.Series:
+def _ranges(runs: pd.Series) -> pd.Series:
     names, out = ("first", "runs", "heading", "number"), []
-    for p, s, t, c in zip(page, size, title, numbered, strict=True):
-        found = chunk_ranges(np.asarray(p), np.asarray(s), np.asarray(t, bool), np.asarray(c, bool))
-        out.append([dict(zip(names, r, strict=True)) for r in found])
+    for x in runs:
+        p, s, t, c = np.array(x, np.int64).reshape(-1, 4).T
+        out.append([dict(zip(names, r, strict=True)) for r in chunk_ranges(p, s, t > 0, c > 0)])
     return pd.Series(out)
 
 
@@ -153,14 +153,15 @@ def _chunked(one: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     flat = T.whitespace_norm
     # a longer run can be a heading only where white space joins up; the number is the same in a run as in its folded text
     title = lambda t: F.when((F.length(t) <= T.HEADING_MAX) | t.rlike(r"(?U)\s\s"), T.let(flat(t), T.is_heading)).otherwise(F.lit(False))
-    rows = rows.withColumn("heads", of(lambda t: F.struct(title(t).alias("title"), T.clause_number(t, True).alias("number"))))
-    rows = rows.withColumn("cuts", ranges(F.col("lines.page"), of(F.length), F.col("heads.title"), F.transform("heads", lambda x: x["number"].isNotNull())))
+    # one argument, as Spark works the runs out anew for each
+    measured = lambda x: F.array(x["page"], F.length(x["text"]), title(x["text"]).cast("int"), T.clause_number(x["text"], True).isNotNull().cast("int"))
+    rows = rows.withColumn("cuts", ranges(F.flatten(F.transform("lines", measured))))
 
     def chunk(c: Column) -> Column:
         """A chunk is cut out while the document is one row, so that no copy of its lines goes along with each chunk."""
         own = F.slice("lines", c["first"] + 1, c["runs"])
         section = F.when(c["heading"] >= 0, F.substring(flat(F.get("lines", c["heading"])["text"]), 1, SECTION))
-        number = F.when(c["number"] >= 0, F.get("heads", c["number"])["number"])
+        number = F.when(c["number"] >= 0, T.clause_number(F.get("lines", c["number"])["text"], True))
         return T.let(own, lambda x: F.struct(
             x[0]["page"].alias("page"), T.strip(F.array_join(x["text"], "\n")).alias("text"), section.alias("section"), number.alias("number"),
         ))

@@ -131,3 +131,13 @@ def test_chunking_takes_small_batches_and_folds_as_before(spark):
     odd = spark.range(0x3100).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
     x = F.concat("c", F.lit("a b"), "c", F.lit("c"), "c")
     assert odd.where(T.strip(x) != F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def test_runs_of_lines_are_measured_once(spark):
+    from packreview.functions import text as T
+    from packreview.operators import chunking
+
+    docs = spark.sql("select id as document_id, id as ordinal, 0 as case_id, 'tender' as role, 'x' as filename, 'PART ONE' as text from range(3)")
+    plan = chunking.chunk_texts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    fold = plan[plan.index("ArrowEvalPython [_ranges") : plan.index("ArrowEvalPython [_runs")]
+    assert fold.count(T.PART_WORD) == 1  # once for each argument before
