@@ -4,11 +4,11 @@ A word (a match of the pre-token pattern) is the array of its bytes. The fold ma
 rank of each adjacent pair in a literal rank map and joins the first pair of the lowest rank, until no pair has a rank.
 The literal is the vocabulary cut into buckets by crc32 of the piece, as a lookup in one map literal walks all of it.
 
-Where the fold runs: it encodes the `frequent` distinct words of a bounded sample of the texts (HOT_WORDS at most,
-whatever the input), and that dictionary is broadcast. A text's other words are folded where they stand, in the task,
-by the same ranked merges with a bounded memo: joining each word's ids back by a shuffle would move all words of the
-corpus (about 2.5 times the input's bytes), and folding all distinct words with higher-order functions costs about
-50 microseconds a word; the README has the figures. Ids do not depend on which way a word takes.
+Every distinct word of all documents is folded so, once. Joining each place of each word by a shuffle would move the corpus
+twice and more, so places are joined by blocks: a task cuts its texts into words, numbers the distinct words of BLOCK_BYTES
+of text, and writes the texts as such numbers. A block's words go to the fold by a hash of the word, their ids come back to
+the block, and there each text looks up its numbers. Words beyond LONG_WORD bytes, whose fold takes steps that grow with the
+square, are folded by a heap, by the same merges.
 
 Decoding looks up each id's piece and concatenates the bytes.
 
@@ -24,22 +24,25 @@ import json
 import re
 import sys
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from packreview.llm.common import fresh_path, map_rows, materialise, table
-from packreview.sources.scratch import short_plans
-from packreview.llm.wordids import WordIds, flatten
+from packreview.llm.common import SLICE_BYTES, fresh_path, materialise, reach_workers, slices, table
+from packreview.llm.wordids import flatten, gather
+from packreview.sources.scratch import bucketed, short_plans, spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-HOT_WORDS, SAMPLE_DOCS = 20_000, 2_000
+#: Bytes of text whose distinct words are numbered together, and parts of a block's words by a hash.
+BLOCK_BYTES, PARTS = 32 << 20, 1024
 #: Bytes of a word beyond which it is folded by a heap, and never by higher-order functions.
 LONG_WORD = 200
-_BUCKETS = 4096
+_BUCKETS = 32_768
 #: Patterns by the greatest character of the texts that they are for: the fewer ranges a class has, the faster it is.
 LEVELS = (0xFF, 0xFFFF, sys.maxunicode)
 
@@ -99,31 +102,36 @@ def rank_literal(ranks: dict[bytes, int], buckets: int = _BUCKETS) -> Column:
     return F.from_json(F.lit(json.dumps(cells)), "array<map<string,int>>")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
 def fold_merges(word: Column, ranks: Column, buckets: int = _BUCKETS) -> Column:
-    """array<int>: the ids of the byte array of `word` (binary), by ranked merges in higher-order functions."""
-    rank = lambda h: F.try_element_at(F.element_at(ranks, (F.crc32(h) % buckets + 1).cast("int")), h)
-    n = F.octet_length(word)
-    whole = F.hex(word)
+    """array<int>: the ids of the byte array of `word` (binary), by ranked merges in higher-order functions.
+
+    The state holds the pieces and the rank of each with its right neighbour, so that a step looks up two pairs.
+    """
+    n, whole = F.octet_length(word), F.hex(word)
     parts = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(whole, (2 * i - 1).cast("int"), F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
-    def step(acc: Column, _: Column) -> Column:
-        # ranks of the pairs that stand side by side; the first pair of the lowest rank is joined
-        pairs = F.transform(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), lambda a, i: F.struct(rank(F.concat(a, F.element_at(acc, i + 2))).alias("r"), i.alias("i")))
-        ranked = F.filter(pairs, lambda p: p["r"].isNotNull())
-        return F.transform(
-            F.array(F.array_min(ranked)),
-            lambda best: F.when(
-                best.isNotNull(),
-                F.concat(
-                    F.slice(acc, 1, best["i"]),
-                    F.array(F.concat(F.element_at(acc, best["i"] + 1), F.element_at(acc, best["i"] + 2))),
-                    F.slice(acc, best["i"] + 3, F.size(acc)),
-                ),
-            ).otherwise(acc),
-        )[0]
-
-    merged = F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), parts, step)
-    return F.transform(merged, rank)
+    def fold(table: Column) -> Column:
+        rank = lambda h: F.try_element_at(F.element_at(table, (F.crc32(h) % buckets + 1).cast("int")), h)
+        pair = lambda p, i: rank(F.concat(F.get(p, i), F.get(p, i + 1)))
+
+        def join(acc: Column, k: Column) -> Column:
+            p = F.transform(F.filter(acc["p"], lambda _, i: i != k + 1), lambda x, i: F.when(i == k, F.concat(x, F.get(acc["p"], i + 1))).otherwise(x))
+            old = F.filter(acc["r"], lambda _, i: i != k)
+            return _let(p, lambda q: F.struct(q.alias("p"), F.transform(old, lambda x, i: F.when((i == k) | (i == k - 1), pair(q, i)).otherwise(x)).alias("r")))
+
+        def step(acc: Column, _: Column) -> Column:
+            # the first pair of the lowest rank is joined
+            return _let(F.array_min(acc["r"]), lambda low: F.when(low.isNull(), acc).otherwise(_let((F.array_position(acc["r"], low) - 1).cast("int"), lambda k: join(acc, k))))
+
+        start = _let(parts, lambda p: F.struct(p.alias("p"), F.transform(p, lambda _, i: pair(p, i)).alias("r")))
+        steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.aggregate(steps, start, step, lambda acc: acc["p"]), rank)
+
+    return _let(ranks, fold)
 
 
 def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -183,69 +191,175 @@ def java_pattern() -> str:
     return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
-#: The same with the JVM's own classes, which may lag behind; it only serves to choose which words are remembered.
-_NEARLY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
+def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, the end of each number): seven bits a byte, low ones first; all but a number's last byte have the eighth bit."""
+    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3, 4))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        out[(ends - size)[on] + k] = (numbers[on] >> 7 * k & 127) | ((size[on] > k + 1) << 7)
+    return out, ends
+
+
+def unpack(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128) + 1
+    begin = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    out = data[begin].astype(np.int64) & 127
+    for k in range(1, int((ends - begin).max(initial=0))):
+        on = ends - begin > k
+        out[on] |= (data[begin[on] + k].astype(np.int64) & 127) << 7 * k
+    return out
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(word, n): distinct pre-tokens of the texts by DataFrame functions, with their counts."""
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_NEARLY), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
 
+class _Numbers(dict):
+    """word -> its number, the next one where it is new."""
 
-def ranks_within(words: list[bytes], ranks: dict[bytes, int]) -> dict[bytes, int]:
-    """The ranks of all pieces that stand in the words: no other can be met while they are folded."""
-    longest = max(map(len, ranks), default=0)
-    pieces = {w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, min(len(w), a + longest) + 1)}
-    return {p: ranks[p] for p in pieces if p in ranks}
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def frequent_dictionary(
-    docs: DataFrame, ranks: dict[bytes, int], limit: int = HOT_WORDS, sample_docs: int = SAMPLE_DOCS
-) -> dict[str, list[int]]:
-    """Ids of the most frequent distinct words of a bounded sample (by a hash of the text), folded by Spark."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
-    drawn = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    words = distinct_words(docs.where(F.col("text").isNotNull() & drawn)).where(F.octet_length("word") <= LONG_WORD)
-    words = [r.word for r in words.orderBy(F.desc("n"), "word").limit(limit).collect()]  # `limit` words at most
-    if not words:
-        return {}
-    spark = docs.sparkSession
-    literal = rank_literal(ranks_within([w.encode() for w in words], ranks))
-    rows = spark.createDataFrame([(w,) for w in words], "word string").repartition(spark.sparkContext.defaultParallelism)
-    with short_plans(spark):  # a plan that holds the literal is described by its beginning alone
-        folded = rows.select("word", fold_merges(F.encode("word", "UTF-8"), literal).alias("ids")).collect()
-    return {r.word: r.ids for r in folded}
+#: What numbered() adds: rows of docs have __words, rows of a block's words the other three columns.
+_NUMBERED = "__block long, __words binary, __part int, __list array<string>, __numbers array<int>"
 
 
-def encode(docs: DataFrame, vocabulary: str, limit: int = HOT_WORDS) -> DataFrame:
-    """Adds ids (binary: little-endian unsigned 32-bit) and n_tokens to docs(text, ...); other columns pass through."""
-    ranks = read_ranks(vocabulary)
-    sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast((ranks, frequent_dictionary(docs, ranks, limit)))  # vocabulary and HOT_WORDS: fixed bounds
+def numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with the text as packed numbers of words within a block, and each block's words in PARTS
+    rows by their hash (those beyond LONG_WORD bytes in part -1). It is written, bucketed by block."""
+    reach_workers(docs.sparkSession)
     patterns = pretoken_patterns()
-    state: list[WordIds] = []
+    made = StructType.fromDDL(_NUMBERED)
+    full = StructType([StructField(f.name, f.dataType) for k in keep for f in docs.select(k).schema.fields] + made.fields)
 
-    def run(texts: list[str | None]) -> dict[str, list]:
-        if not state:
-            own, hot = shipped.value
-            dtype = np.uint32 if max(own.values(), default=0) > 65535 else np.uint16
-            state.append(WordIds(lambda new: flatten([fold_word(w.encode(), own) for w in new]), hot, dtype))
-        ids, n = state[0].of([pretokens(t, patterns) for t in texts])
-        ids = ids.astype("<u4")
-        ends = np.cumsum(n)
-        return {"ids": [ids[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], "n_tokens": n}
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(full)
+        block, held, index = TaskContext.get().partitionId() << 24, 0, _Numbers()
+        row = lambda n, cols: pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def words_of_block():
+            parts: dict[int, tuple[list, list]] = {}
+            for word, n in index.items():
+                raw = word.encode()
+                words, numbers = parts.setdefault(zlib.crc32(raw) % PARTS if len(raw) <= LONG_WORD else -1, ([], []))
+                words.append(word)
+                numbers.append(n)
+            if parts:
+                lists = {"__list": [x for x, _ in parts.values()], "__numbers": [x for _, x in parts.values()], "__part": list(parts), "__block": [block] * len(parts)}
+                yield row(len(parts), {k: pa.array(v, schema.field(k).type) for k, v in lists.items()})
 
-    return map_rows(docs, run, "ids binary, n_tokens long", [c for c in docs.columns if c not in ("ids", "n_tokens")])
+        for batch in batches:
+            texts = batch.column(len(keep)).cast(pa.string())
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+            for a, b in slices(sizes):
+                if held and held + int(sizes[a:b].sum()) > BLOCK_BYTES:
+                    yield from words_of_block()
+                    block, held, index = block + 1, 0, _Numbers()
+                held += int(sizes[a:b].sum())
+                tokens = [pretokens(t, patterns) for t in texts.slice(a, b - a).to_pylist()]
+                n = np.fromiter(map(len, tokens), np.int64, b - a)
+                data, ends = pack(np.fromiter(map(index.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum())))
+                at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+                cols = {k: batch.column(i).slice(a, b - a).cast(schema.field(i).type) for i, k in enumerate(keep)}
+                words = pa.array([data[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield row(b - a, cols | {"__block": pa.array([block] * (b - a), pa.int64()), "__words": words})
+        yield from words_of_block()
+
+    return bucketed(docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, full), "numbered", "__block")
+
+
+def fold_all(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(__block, __part, __ids) of parts(__block, __part, __list): each distinct word is folded once by higher-order functions,
+    and its ids go to every part of a block that has it, packed behind the sizes, in the order of its list. It is written."""
+    shipped = parts.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
+    own = spread(parts.where("__part >= 0"), "__part")
+    each = own.select("__part", "__block", F.posexplode("__list").alias("n", "__word"))
+    words = each.groupBy("__part", "__word").agg(F.collect_list(F.struct("__block", "n")).alias("__at"))
+    folded = words.select("__part", "__at", fold_merges(F.encode("__word", "UTF-8"), rank_literal(ranks)).alias("ids"))
+    placed = folded.select("__part", F.explode("__at").alias("a"), "ids").groupBy("__part", F.col("a.__block").alias("__block"))
+    placed = placed.agg(F.collect_list(F.struct("a.n", "ids")).alias("x"))
+    short = placed.select("__block", "__part", F.col("x.n").alias("n"), F.transform("x", lambda w: F.size(w["ids"])).alias("sizes"), F.flatten("x.ids").alias("ids"))
+    made = "__block long, __part int, __ids binary"
+
+    def packed(block: int, part: int, sizes: np.ndarray, ids: np.ndarray):
+        import pyarrow as pa
+
+        data = zlib.compress(pack(sizes)[0].tobytes() + pack(ids)[0].tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["__block", "__part", "__ids"])
+
+    def in_order(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                block, part, n, sizes, ids = (c[i] for c in b.columns)
+                n, sizes, ids = (np.asarray(c.values, np.int64) for c in (n, sizes, ids))
+                order, begin = np.argsort(n), np.cumsum(sizes) - sizes
+                yield packed(block.as_py(), part.as_py(), sizes[order], gather(ids, begin[order], sizes[order]))
+
+    def by_heap(batches):
+        for b in batches:
+            for block, part, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, sizes = flatten([fold_word(w.encode(), shipped.value) for w in words])
+                yield packed(block, part, sizes, ids)
+
+    long = parts.where("__part < 0").select("__block", "__part", "__list")
+    return materialise(short.mapInArrow(in_order, made).unionByName(long.mapInArrow(by_heap, made)), "folded")
+
+
+def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
+    """Adds ids (binary: little-endian unsigned 32-bit) and n_tokens to the columns `keep` of docs(text, ...), all by default."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens")]
+    table = numbered(docs, keep)
+    folded = fold_all(table.where("__part is not null").select("__block", "__part", "__list"), read_ranks(vocabulary))
+    texts = table.select("__block", "__words", "__part", "__numbers", *keep)
+    full = StructType([*texts.select(*keep).schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
+
+    def run(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(full)
+        ids_of = dict(zip(right.column("__part").to_pylist(), right.column("__ids").to_pylist(), strict=True))
+        is_part = pc.is_valid(left.column("__part"))
+        own, left = left.filter(is_part).select(["__part", "__numbers"]), left.filter(pc.invert(is_part))
+        numbers = {p: np.asarray(n, np.int64) for p, n in zip(*(c.to_pylist() for c in own.columns), strict=True)}
+        total = sum(map(len, numbers.values()))
+        sizes, begins, flat, used = np.zeros(total, np.int64), np.zeros(total, np.int64), [np.zeros(0, "<u4")], 0
+        for part, n in numbers.items():
+            got = unpack(np.frombuffer(zlib.decompress(ids_of[part]), np.uint8))
+            sizes[n], begins[n] = got[: len(n)], used + np.cumsum(got[: len(n)]) - got[: len(n)]
+            flat.append(got[len(n) :].astype("<u4"))
+            used += len(flat[-1])
+        flat = np.concatenate(flat)
+        out = []
+        for batch in left.to_batches():
+            words = batch.column(1)
+            for a, b in slices(np.asarray(pc.binary_length(words)), SLICE_BYTES // 2):
+                raw = words.slice(a, b - a).to_pylist()
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                last = np.concatenate([[0], np.cumsum(data < 128)])[np.concatenate([[0], np.cumsum(list(map(len, raw)))]).astype(np.int64)]
+                at = unpack(data)
+                ids = gather(flat, begins[at], sizes[at])
+                cut = np.concatenate([[0], np.cumsum(sizes[at])])[last]
+                kept = [batch.column(i).slice(a, b - a).cast(schema.field(i - 4).type) for i in range(4, len(keep) + 4)]
+                made = [pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(np.diff(cut), pa.int64())]
+                out.append(pa.RecordBatch.from_arrays(kept + made, schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
+
+    return texts.groupBy("__block").cogroup(folded.groupBy("__block")).applyInArrow(run, full)
 
 
 def encode_by_join(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The same as encode(), whole by the named method: all distinct words of all documents are folded by higher-order
     functions and joined back to every place they stand at.
 
-    It moves every word of the corpus twice, which the README has figures of; encode() is the main path for that. Words
-    beyond LONG_WORD bytes are folded by the heap.
+    It moves every word of the corpus twice; encode() is the main path for that, with the same fold. Words beyond LONG_WORD
+    bytes are folded by the heap.
     """
     ranks = read_ranks(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
@@ -307,8 +421,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 out.append(state["bytes"][np.repeat(state["begin"][ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
@@ -317,7 +429,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path).select("doc_id", "n_tokens", "ids"), path)
+    out = decode(encode(docs, path, ["doc_id"]), path)
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -104,6 +104,27 @@ def test_bpe_whole_by_the_named_method(spark):
     assert key(B.encode_by_join(docs, path)) == key(B.encode(docs, path))
 
 
+def test_every_distinct_word_of_bpe_is_folded_by_spark_once(spark, monkeypatch):
+    import public_tokenizers as P
+
+    from packreview.llm import bpe as B
+
+    path, folded = P.path(B.VOCABULARY), []
+    words = [f"w{i * 7919}q" for i in range(3000)]
+    docs = frame(spark, [(i, " ".join([w, words[-1 - i], "b" * 300 * (i < 2)])) for i, w in enumerate(words)])
+    monkeypatch.setattr(B, "BLOCK_BYTES", 1 << 12)  # many blocks
+    monkeypatch.setattr(B, "fold_merges", lambda w, *a, own=B.fold_merges: (folded.append(w), own(w, *a))[1])
+    monkeypatch.setattr(B, "fold_word", lambda w, ranks, own=B.fold_word: own(w, ranks) if len(w) > B.LONG_WORD else 1 / 0)
+    got = {r.doc_id: r for r in B.encode(docs, path).collect()}
+    monkeypatch.undo()
+    ranks = B.read_ranks(path)
+    assert len(folded) == 1 and len(got) == 3000
+    for r in docs.collect():
+        assert list(np.frombuffer(bytes(got[r.doc_id].ids), "<u4")) == [x for w in B.pretokens(r.text) for x in B.fold_word(w.encode(), ranks)]
+    for v in ([], [0, 127, 128, 16383, 16384, 1 << 21, (1 << 31) - 1, 5]):
+        assert B.unpack(B.pack(np.array(v, np.int64))[0]).tolist() == v
+
+
 def brute_vectors(rows):
     """(n_links, component) of each row by all pairs; rows are (id, unit vector)."""
     m = np.array([v for _, v in rows])
