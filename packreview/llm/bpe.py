@@ -33,13 +33,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from packreview.llm.common import SLICE_BYTES, fresh_path, materialise, reach_workers, slices, table
+from packreview.llm.common import fresh_path, give_back, materialise, reach_workers, slices, table
 from packreview.llm.wordids import flatten, gather
 from packreview.sources.scratch import bucketed, short_plans, spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose distinct words are numbered together, and parts of a block's words by a hash.
 BLOCK_BYTES, PARTS = 32 << 20, 1024
+#: Bytes of text that are cut into words at a time, and bytes of packed numbers that are looked up at a time. A Python
+#: worker takes some fifty times as much for either, and each core has two of them here.
+CUT_BYTES, LOOKUP_BYTES = 512 << 10, 128 << 10
 #: Bytes of a word beyond which it is folded by a heap, and never by higher-order functions.
 LONG_WORD = 200
 _BUCKETS = 32_768
@@ -220,6 +223,13 @@ class _Numbers(dict):
         return n
 
 
+def binaries(data: np.ndarray, cut: np.ndarray):
+    """Arrow's array of the stretches of data between the places in cut, which begins with 0; it holds data itself, no copy."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
 #: What numbered() adds: rows of docs have __words, rows of a block's words the other three columns.
 _NUMBERED = "__block long, __words binary, __part int, __list array<string>, __numbers array<int>"
 
@@ -256,7 +266,7 @@ def numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             texts = batch.column(len(keep)).cast(pa.string())
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, CUT_BYTES):
                 if held and held + int(sizes[a:b].sum()) > BLOCK_BYTES:
                     yield from words_of_block()
                     block, held, index = block + 1, 0, _Numbers()
@@ -266,9 +276,10 @@ def numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
                 data, ends = pack(np.fromiter(map(index.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum())))
                 at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
                 cols = {k: batch.column(i).slice(a, b - a).cast(schema.field(i).type) for i, k in enumerate(keep)}
-                words = pa.array([data[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield row(b - a, cols | {"__block": pa.array([block] * (b - a), pa.int64()), "__words": words})
+                yield row(b - a, cols | {"__block": pa.array([block] * (b - a), pa.int64()), "__words": binaries(data, at)})
         yield from words_of_block()
+        index = None
+        give_back()
 
     return bucketed(docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, full), "numbered", "__block")
 
@@ -323,11 +334,15 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> D
         import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        give_back()  # of the block before
         schema = to_arrow_schema(full)
         ids_of = dict(zip(right.column("__part").to_pylist(), right.column("__ids").to_pylist(), strict=True))
-        is_part = pc.is_valid(left.column("__part"))
-        own, left = left.filter(is_part).select(["__part", "__numbers"]), left.filter(pc.invert(is_part))
-        numbers = {p: np.asarray(n, np.int64) for p, n in zip(*(c.to_pylist() for c in own.columns), strict=True)}
+        numbers, rows = {}, []
+        for batch in left.to_batches():
+            is_part = pc.is_valid(batch.column("__part"))
+            own = batch.filter(is_part)
+            numbers |= {p: np.asarray(n.values) for p, n in zip(own.column("__part").to_pylist(), own.column("__numbers"), strict=True)}
+            rows.append((batch, pc.invert(is_part)))
         total = sum(map(len, numbers.values()))
         sizes, begins, flat, used = np.zeros(total, np.int64), np.zeros(total, np.int64), [np.zeros(0, "<u4")], 0
         for part, n in numbers.items():
@@ -337,9 +352,10 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> D
             used += len(flat[-1])
         flat = np.concatenate(flat)
         out = []
-        for batch in left.to_batches():
+        for batch, is_text in rows:
+            batch = batch.filter(is_text)
             words = batch.column(1)
-            for a, b in slices(np.asarray(pc.binary_length(words)), SLICE_BYTES // 2):
+            for a, b in slices(np.asarray(pc.binary_length(words)), LOOKUP_BYTES):
                 raw = words.slice(a, b - a).to_pylist()
                 data = np.frombuffer(b"".join(raw), np.uint8)
                 last = np.concatenate([[0], np.cumsum(data < 128)])[np.concatenate([[0], np.cumsum(list(map(len, raw)))]).astype(np.int64)]
@@ -347,7 +363,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> D
                 ids = gather(flat, begins[at], sizes[at])
                 cut = np.concatenate([[0], np.cumsum(sizes[at])])[last]
                 kept = [batch.column(i).slice(a, b - a).cast(schema.field(i - 4).type) for i in range(4, len(keep) + 4)]
-                made = [pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(np.diff(cut), pa.int64())]
+                made = [binaries(ids, cut), pa.array(np.diff(cut), pa.int64())]
                 out.append(pa.RecordBatch.from_arrays(kept + made, schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
@@ -407,19 +423,21 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         if not state:
             state["size"], state["bytes"] = shipped.value
             state["begin"] = np.cumsum(state["size"]) - state["size"]
         for batch in batches:
-            col = batch.schema.get_field_index("ids")
-            out = []
-            for b in batch.column(col):
-                ids = np.frombuffer(b.as_py() or b"", "<u4")
+            coded = pc.fill_null(batch.column(batch.schema.get_field_index("ids")), b"")
+            n = np.asarray(pc.binary_length(coded), np.int64)
+            for a, b in slices(n, LOOKUP_BYTES):
+                ids = np.frombuffer(b"".join(coded.slice(a, b - a).to_pylist()), "<u4")
                 size = state["size"][ids]
-                ends = np.cumsum(size)
-                out.append(state["bytes"][np.repeat(state["begin"][ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+                cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n[a:b])]) // 4]
+                made = binaries(gather(state["bytes"], state["begin"][ids], size), cut)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, made], names=[*batch.schema.names, "decoded"])
+        give_back()
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 

@@ -263,3 +263,48 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     assert set(got) == {1, 3, 4, 5, None} and got[3].text == "[SECRET]" and got[3].n_chars == 8
     assert all(got[i][n] == f"{n}{i}" for i in (1, 3, 4, 5) for n in names)
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_python_workers_of_bpe_stay_small(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers as P
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from packreview.llm import bpe as B
+
+    path, words = P.path(B.VOCABULARY), [f"w{i}" for i in range(20_000)]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=2000)) for _ in range(400)]
+    docs = frame(spark, list(enumerate(texts))).select("doc_id", "text").coalesce(1)
+    taken: dict = {}
+
+    def note(kind, own):
+        return lambda self, run, schema: (taken.setdefault(kind, []).append((self, run)), own(self, run, schema))[1]
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", note("groups", PandasCogroupedOps.applyInArrow))
+    monkeypatch.setattr(type(docs), "mapInArrow", note("rows", type(docs).mapInArrow))
+    coded = B.encode(docs, path, ["doc_id"])
+    B.decode(coded, path)
+    monkeypatch.undo()
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+
+    def most(run, *args) -> float:
+        """MB that Python and numpy held at once."""
+        tracemalloc.start()
+        for _ in run(*args) if len(args) == 1 else [run(*args)]:
+            pass
+        top = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return top
+
+    table = coded.select("doc_id", "ids").toArrow()
+    cut, back = taken["rows"][0][1], taken["rows"][-1][1]
+    text = pa.record_batch({"doc_id": list(range(400)), "__text": texts})
+    grouped, run = taken["groups"][0]
+    left, right = grouped._gd1._df.toArrow(), grouped._gd2._df.toArrow()
+    ids = sum(len(x.as_py()) for x in table.column("ids")) / 1e6
+    held = most(cut, [text]), most(run, left, right) - ids, most(back, table.combine_chunks().to_batches())
+    assert held[0] < 40 and held[1] < 15 and held[2] < 5  # 77, 37 and 7 where slices were of 2 MB
