@@ -1,5 +1,7 @@
 """Work that must not grow with the pairs of two tables."""
 
+import pyarrow as pa
+
 from packreview.operators import retrieval
 
 
@@ -92,6 +94,28 @@ def test_reranking_compares_pairs_by_matrices_and_broadcasts_no_texts(spark):
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_reranking_reads_whole_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from packreview.functions import text as T
+
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    query, texts = "valid licence \U0001f600\U0001f601 ok", ["x" * 2500 + " no", "x" * 2500 + " valid licence \U0001f600\U0001f601 ok", "é" * 90_000 + " licence", "", None]
+    want = [len(grams(query) & grams(t or "")) / len(grams(query) | grams(t or "")) for t in texts]
+    chunks = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "corpus string, chunk_id int, text string").coalesce(1)
+    queries = spark.createDataFrame([("x", 1, query)], "corpus string, query_id int, text string")
+    pool = chunks.select("corpus", F.lit(1).alias("query_id"), "chunk_id", (F.col("chunk_id") + 1).alias("rank"))
+    for scorer in (None, T.trigram_jaccard):
+        got = {r.chunk_id: r.score for r in retrieval.rerank(pool, queries, chunks, 9, scorer=scorer).collect()}
+        assert all(abs(got[i] - x) < 1e-12 for i, x in enumerate(want)) and want[1] > want[0] == 0
+    sizes, jaccards = [], retrieval._jaccards
+    monkeypatch.setattr(retrieval, "_jaccards", lambda a, b: (sizes.append(sum(map(len, set(b.to_pylist())))), jaccards(a, b))[1])
+    monkeypatch.setattr(retrieval, "CHARACTERS", 3000)
+    long = pa.array([f"{i}{'y' * 1000}" for i in range(40)] + ["z" * 5000])
+    list(retrieval._pair_scores([pa.record_batch({"__q": pa.array(["a licence"] * 41), "__t": long})]))
+    assert sum(sizes) == sum(map(len, long.to_pylist())) and sorted(sizes)[-2] <= 3000 and max(sizes) == 5000
+
+
 def test_evidence_is_cited_without_a_broadcast_of_the_texts(spark):
     import re
 
