@@ -132,3 +132,12 @@ def test_hits_against_brute_force(spark, folder):
     assert {k: len(v) for k, v in hits.items()} == {(r.case_id, r.req_id): 8 for r in rows}
     for r in rows:
         assert hits[r.case_id, r.req_id] == [c[0] for c in brute(r.text, chunks[r.case_id])], r.text
+
+
+def test_claims_count_the_dates_that_the_letter_asks_about(spark, folder):
+    from packreview.jobs import more_queries as M
+
+    open_rows = Counter(r.case_id for r in M._rule_matrix(spark, folder)[1].where("decision <> 'met'").collect())
+    got = {r.case_id: r.n for r in M.ver1_claims(spark, folder).where("stage = 'drafter'").collect()}
+    dates = {0: 2, 1: 1, 2: 1}  # customers 5 and 13, 21, 29
+    assert got == {case: min(6, open_rows[case]) + n for case, n in dates.items()}
