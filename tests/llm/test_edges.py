@@ -308,3 +308,23 @@ def test_python_workers_of_bpe_stay_small(spark, monkeypatch):
     ids = sum(len(x.as_py()) for x in table.column("ids")) / 1e6
     held = most(cut, [text]), most(run, left, right) - ids, most(back, table.combine_chunks().to_batches())
     assert held[0] < 40 and held[1] < 15 and held[2] < 5  # 77, 37 and 7 where slices were of 2 MB
+
+
+def test_near_duplicates_hold_no_words_and_no_key_on_the_heap(spark):
+    import tracemalloc
+
+    from packreview.llm import minhash
+
+    texts = [[" ".join(f"w{i}x{j}" for j in range(500)) for i in range(at, at + 20)] for at in range(0, 400, 20)]
+    minhash.shingle_sets(["a b c d"], 3)
+    tracemalloc.start()
+    for some in texts:
+        minhash.shingle_sets(some, 3)
+    held = tracemalloc.get_traced_memory()[0] / 1e6
+    tracemalloc.stop()
+    assert held < 3  # 200,000 words were kept, more than 20 MB
+    name = "spark.sql.sortMergeJoinExec.buffer.in.memory.threshold"
+    spark.conf.unset(name)
+    minhash.near_duplicates(frame(spark, [(1, "a b c d"), (2, "a b c d")]), minhash.NearDup()).collect()
+    assert spark.conf.get(name) == "4096"
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8388608b"
